@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,7 +44,7 @@ def batches(it: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> I
             continue
         k = batch.schema.get_field_index(column)
         arr = batch.column(k)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(arr), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False)
         begin = size = 0
         for i in range(n):
             if i > begin and size + sizes[i] > most:
