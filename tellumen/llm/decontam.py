@@ -2,9 +2,9 @@
 
 Pass 1 is a randomised SVD of the TF-IDF matrix of all passages (blocks of 32 words) over hashed words: every
 passage is added with a random sign to one of `sketch` rows (a sparse test matrix), so the sketch keeps the row
-space while tasks send partial sums of fixed size; document frequencies travel with it. The driver decomposes
-the small sketch; its leading right singular vectors, scaled by idf and whitened, are the latent projection.
-Pass 2 slides windows of each item's own length over every whole text (sums of 4-word blocks in latent space),
+space while tasks send partial sums of fixed size; word counts travel with it. The driver decomposes
+the small sketch; its leading right singular vectors, scaled by idf, centred and whitened, are the projection.
+Pass 2 slides windows of each item's own length over every whole text (sums of 8-word blocks in latent space),
 takes windows whose cosine with the item reaches `cosine` as candidates, and checks them on words: the longest
 common subsequence of item and region must reach `verbatim` of the item's words, or `paraphrase` of them while
 the item's answer (its last quarter) is found too.
@@ -27,15 +27,16 @@ from tellumen.llm import textops as tx
 from tellumen.llm.common import batches, table
 
 U = np.uint64
-FEATURES, SKETCH, RANK, PASSAGE, STEP = 4096, 112, 64, 32, 4
+FEATURE_BITS, SKETCH, RANK, PASSAGE, STEP = 11, 192, 48, 32, 8
+FEATURES = 1 << FEATURE_BITS
 
 
 def _feature(h: np.ndarray) -> np.ndarray:
-    return (h >> U(52)).astype(np.int64)
+    return (h >> U(64 - FEATURE_BITS)).astype(np.int64)
 
 
 def _sketch_rows(docs: DataFrame) -> DataFrame:
-    """(part, body): per task, rows 0..SKETCH-1 of the sketch, the document frequencies and the passage count."""
+    """(part, body): per task, rows 0..SKETCH-1 of the sketch, the word counts by feature and the passage count."""
 
     def run(it):
         acc = np.zeros(SKETCH * FEATURES)
@@ -51,8 +52,7 @@ def _sketch_rows(docs: DataFrame) -> DataFrame:
             f = _feature(w.hash)
             sign = np.where(seed & U(1), 1.0, -1.0)
             acc += np.bincount(((seed >> U(8)) % U(SKETCH)).astype(np.int64)[row] * FEATURES + f, weights=sign[row], minlength=len(acc))
-            pair = np.unique(row * FEATURES + f)
-            df[:-1] += np.bincount(pair % FEATURES, minlength=FEATURES)
+            df[:-1] += np.bincount(f, minlength=FEATURES)
             df[-1] += len(seed)
         rows = [*acc.reshape(SKETCH, FEATURES), df]
         yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH + 1), pa.int32()), pa.array([r.astype(np.float32).tobytes() for r in rows], pa.binary())], ["part", "body"])
@@ -71,14 +71,28 @@ def latent_projection(docs: DataFrame) -> np.ndarray:
     got = {r.part: np.frombuffer(r.body, np.float32).astype(float) for r in _sketch_rows(docs).collect()}
     if not got or got[SKETCH][-1] == 0:
         return np.zeros((FEATURES, RANK), np.float32)
-    df, n = got[SKETCH][:-1], got[SKETCH][-1]
-    idf = np.log((n + 1) / (df + 1)) + 0.1
-    sketch = np.array([got[k] for k in range(SKETCH)]) * idf
-    _, s, vt = np.linalg.svd(sketch, full_matrices=False)
-    keep = s[:RANK] > 1e-9 * s[0]
-    out = np.zeros((FEATURES, RANK))
-    out[:, : keep.sum()] = (vt[:RANK][keep] / s[:RANK][keep, None]).T * np.sqrt(n)
-    return (out * idf[:, None]).astype(np.float32)
+    count, n = got[SKETCH][:-1], got[SKETCH][-1]
+    token = count / count.sum()
+    # The passages that hold a feature, from its count as if spread at random.
+    idf = np.log((n + 1) / (n * -np.expm1(-count / n) + 1)) + 0.1
+    rows = np.array([got[k] for k in range(SKETCH)])
+    # One half of the sketch finds the directions, the other measures passages along them without bias.
+    _, s, vt = np.linalg.svd(rows[::2] * idf, full_matrices=False)
+    p = (vt[: min(RANK, int((s > 1e-9 * s[0]).sum()))] * idf).T
+    p -= token @ p
+    p = p @ _inverse_root((p * token[:, None]).T @ p)
+    # Directions in which whole passages agree (language, common words) are shrunk to the typical energy.
+    energy, q = np.linalg.eigh((rows[1::2] @ p).T @ (rows[1::2] @ p))
+    typical = np.median(energy)
+    p = p @ q * np.where(energy > 4 * typical, np.sqrt(typical / np.maximum(energy, 1e-30)), 1.0)
+    return np.pad(p, ((0, 0), (0, RANK - p.shape[1]))).astype(np.float32)
+
+
+def _inverse_root(c: np.ndarray) -> np.ndarray:
+    """c to the power -1/2, without the directions in which c vanishes."""
+    v, q = np.linalg.eigh(c)
+    ok = v > 1e-9 * max(v[-1], 1e-30)
+    return q[:, ok] / np.sqrt(v[ok])
 
 
 def lcs(masks: dict, m: int, words: list) -> int:
@@ -96,7 +110,7 @@ class Items:
 
     def __init__(self, rows: list, proj: np.ndarray):
         w = tx.Words(pa.array([r.text for r in rows], pa.string()))
-        self.ids, self.words, self.masks, self.answers = [], [], [], []
+        self.ids, self.words, self.masks, self.times, self.answers = [], [], [], [], []
         latent = []
         for k, r in enumerate(rows):
             h = w.hash[w.first[k] : w.first[k + 1]]
@@ -105,6 +119,7 @@ class Items:
             self.ids.append(r.item_id)
             self.words.append(h.tolist())
             self.masks.append(self._masks(h.tolist()))
+            self.times.append({x: v.bit_count() for x, v in self.masks[-1].items()})
             tail = h[-max(3, len(h) // 4) :].tolist()
             self.answers.append((len(tail), self._masks(tail)))
             latent.append(proj[_feature(h)].sum(axis=0))
@@ -115,7 +130,7 @@ class Items:
         steps = np.maximum(1, np.rint(self.n / STEP).astype(int))
         for s in np.unique(steps):
             at = np.flatnonzero(steps == s)
-            self.groups[int(s)] = (at, q[at].T.copy())
+            self.groups[int(s)] = (at, q[at].copy())
 
     @staticmethod
     def _masks(words: list) -> dict:
@@ -129,6 +144,8 @@ HIT = "doc_id long, item_id long, cosine double, lcs_share double, answer_share
 
 
 def _search(docs: DataFrame, items: Items, proj: np.ndarray, cosine: float, verbatim: float, paraphrase: float, least: int) -> DataFrame:
+    padded = np.vstack([proj, np.zeros((1, RANK), np.float32)])
+
     def run(it):
         for b in batches(it, "text"):
             w = tx.Words(b.column(1))
@@ -139,8 +156,12 @@ def _search(docs: DataFrame, items: Items, proj: np.ndarray, cosine: float, verb
             block0 = np.concatenate([[0], np.cumsum(per_doc)])
             in_doc = np.arange(block0[-1]) - np.repeat(block0[:-1], per_doc)
             opens = np.repeat(w.first[:-1], per_doc) + in_doc * STEP
-            sums = np.add.reduceat(proj[_feature(w.hash)], opens, axis=0)
-            cum = np.concatenate([np.zeros((1, RANK)), np.cumsum(sums, axis=0, dtype=float)])
+            left = np.repeat(w.first[1:], per_doc) - opens
+            f = _feature(w.hash)
+            cum = np.zeros((block0[-1] + 1, RANK), np.float32)
+            for k in range(STEP):
+                cum[1:] += padded[np.where(left > k, f[np.minimum(opens + k, len(f) - 1)], FEATURES)]
+            cum = np.cumsum(cum.T, axis=1)
             stop = np.repeat(block0[1:], per_doc)
             doc_of = np.repeat(np.arange(w.n_docs), per_doc)
             at = np.arange(block0[-1])
@@ -148,14 +169,16 @@ def _search(docs: DataFrame, items: Items, proj: np.ndarray, cosine: float, verb
             for steps, (cols, q) in items.groups.items():
                 # Windows that begin in a text's last blocks end with the text; the first one always counts.
                 use = at[(at + steps <= stop) | (in_doc == 0)]
-                win = (cum[np.minimum(use + steps, stop[use])] - cum[use]).astype(np.float32)
-                win /= np.maximum(np.sqrt(np.einsum("ij,ij->i", win, win)), 1e-9)[:, None]
-                sim = win @ q
-                for i, j in zip(*np.nonzero(sim >= cosine), strict=True):
-                    found.setdefault((int(doc_of[use[i]]), int(cols[j])), []).append((int(in_doc[use[i]]) * STEP, float(sim[i, j]), steps * STEP))
+                win = cum[:, np.minimum(use + steps, stop[use])] - cum[:, use]
+                norm = np.maximum(np.sqrt(np.einsum("ij,ij->j", win, win)), 1e-9)
+                sim = q @ win
+                j, i = np.nonzero(sim >= cosine * norm)
+                sim, first = sim[j, i] / norm[i], in_doc[use[i]] * STEP
+                for doc, col, start, cos in zip(doc_of[use[i]].tolist(), cols[j].tolist(), first.tolist(), sim.tolist(), strict=True):
+                    found.setdefault((doc, col), []).append((start, cos, steps * STEP))
             out = []
             for (doc, k), wins in found.items():
-                m, text = int(items.n[k]), None
+                m = int(items.n[k])
                 best = None
                 reach, last = max(4, m // 3), -1
                 for start, cos, size in sorted(wins):
@@ -163,11 +186,16 @@ def _search(docs: DataFrame, items: Items, proj: np.ndarray, cosine: float, verb
                     if best and hi <= last and cos <= best[0]:
                         continue
                     text = w.hash[w.first[doc] + lo : w.first[doc] + hi].tolist()
+                    # Item words that the region lacks bound the subsequence.
+                    if m - sum(map(items.times[k].__getitem__, items.times[k].keys() - text)) < paraphrase * m:
+                        continue
                     share = lcs(items.masks[k], m, text) / m
                     if best is None or share > best[1]:
                         size_a, masks_a = items.answers[k]
                         best = (cos, share, lcs(masks_a, size_a, text) / size_a, lo, hi)
                     last = hi
+                if best is None:
+                    continue
                 need = 1.0 if m < least else verbatim
                 if best[1] >= need or (m >= least and best[1] >= paraphrase and best[2] >= 0.6):
                     out.append((doc, items.ids[k], best[0], best[1], best[2], best[1] >= need, best[3], best[4]))
@@ -178,7 +206,7 @@ def _search(docs: DataFrame, items: Items, proj: np.ndarray, cosine: float, verb
     return docs.select("doc_id", "text").mapInArrow(run, HIT)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, verbatim: float = 0.8, paraphrase: float = 0.55, least: int = 6, block: int = 8192) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.55, verbatim: float = 0.8, paraphrase: float = 0.55, least: int = 6, block: int = 8192) -> DataFrame:
     """One row per document and benchmark item that it contains: HIT."""
     proj = latent_projection(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
