@@ -6,9 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +54,18 @@ def batches(it: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> I
                 begin, size = i, 0
             size += int(sizes[i])
         yield batch.slice(begin, n - begin)
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """(part, body): vectors of doubles or floats per task, added by part in two levels, so that no group grows
+    with the number of tasks beyond its square root. Bodies are float64 on return."""
+
+    def add(t: pa.Table) -> pa.Table:
+        bodies = t.column("body").to_pylist()
+        total = np.frombuffer(bodies[0], np.float64).copy()
+        for x in bodies[1:]:
+            total += np.frombuffer(x, np.float64)
+        return pa.table({"part": t.column("part").slice(0, 1), "body": pa.array([total.tobytes()], pa.binary())})
+
+    some = parts.withColumn("g", F.floor(F.spark_partition_id() / 64)).groupBy("part", "g").applyInArrow(lambda t: add(t), "part int, body binary")
+    return some.groupBy("part").applyInArrow(lambda t: add(t), "part int, body binary")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellumen.llm import textops as tx
-from tellumen.llm.common import batches, table
+from tellumen.llm.common import batches, summed, table
 
 U = np.uint64
 FEATURE_BITS, SKETCH, RANK, PASSAGE, STEP = 11, 192, 48, 32, 8
@@ -55,20 +55,14 @@ def _sketch_rows(docs: DataFrame) -> DataFrame:
             df[:-1] += np.bincount(f, minlength=FEATURES)
             df[-1] += len(seed)
         rows = [*acc.reshape(SKETCH, FEATURES), df]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH + 1), pa.int32()), pa.array([r.astype(np.float32).tobytes() for r in rows], pa.binary())], ["part", "body"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH + 1), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "body"])
 
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float32).astype(float) for x in t.column("body").to_pylist())
-        return pa.table({"part": t.column("part").slice(0, 1), "body": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    parts = docs.select("text").mapInArrow(run, "part int, body binary").withColumn("g", F.floor(F.spark_partition_id() / 64))
-    some = parts.groupBy("part", "g").applyInArrow(lambda t: add(t), "part int, body binary")
-    return some.groupBy("part").applyInArrow(lambda t: add(t), "part int, body binary")
+    return summed(docs.select("text").mapInArrow(run, "part int, body binary"))
 
 
 def latent_projection(docs: DataFrame) -> np.ndarray:
     """FEATURES x RANK float32, whitened: a passage's latent vector is the sum of its words' rows."""
-    got = {r.part: np.frombuffer(r.body, np.float32).astype(float) for r in _sketch_rows(docs).collect()}
+    got = {r.part: np.frombuffer(r.body) for r in _sketch_rows(docs).collect()}
     if not got or got[SKETCH][-1] == 0:
         return np.zeros((FEATURES, RANK), np.float32)
     count, n = got[SKETCH][:-1], got[SKETCH][-1]

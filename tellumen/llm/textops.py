@@ -13,6 +13,9 @@ import pyarrow as pa
 U = np.uint64
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Everything in ASCII but letters and digits, for words without their punctuation.
+PUNCTUATED = np.zeros(256, bool)
+PUNCTUATED[:128] = [not chr(c).isalnum() for c in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P1, _P2, _P3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -60,7 +63,7 @@ def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a string array, in order: `hash`, `doc` (row), `start`, `end` (byte offsets in `data`)."""
 
-    def __init__(self, arr: pa.Array, lower: bool = True):
+    def __init__(self, arr: pa.Array, lower: bool = True, sep: np.ndarray = _SEP):
         self.data, self.off = buffers(arr)
         self.n_docs = len(self.off) - 1
         data = _LOWER[self.data] if lower else self.data
@@ -71,7 +74,7 @@ class Words:
             self.doc, self.hash = np.zeros(0, np.int64), np.zeros(0, U)
             self.first = np.zeros(self.n_docs + 1, np.int64)
             return
-        word = ~_SEP[data]
+        word = ~sep[data]
         edge = np.zeros(n + 1, bool)
         edge[self.off] = True
         opens = word.copy()
