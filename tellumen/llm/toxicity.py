@@ -4,8 +4,8 @@ A linear classifier on the presence of words, trained in numpy with Adam on the
     prior * E_P[loss(z)] + max(0, E_U[loss(-z)] - prior * E_P[loss(-z)]),
 where a step with a negative second part climbs back on it. P: documents labelled toxic, U: documents of any
 kind; both bounded samples of training rows (`most_p`, `most_u`, smallest hashes of doc_id). The class prior is
-the toxic share of the training labels. Features are words without punctuation that occur in P significantly
-more or less often than in U, chosen on the same samples. Every whole text is scored.
+the toxic share of the training labels. Features are words without punctuation and their first letters, such as
+occur in P significantly more or less often than in U, chosen on the same samples. Every whole text is scored.
 
 Defined results: null and empty texts have no features and get the bias's score; without labels or toxic rows
 every score is 0; rows that repeat a doc_id give a row each; an empty table gives no rows; extra columns are
@@ -25,9 +25,26 @@ from tellumen.llm.common import batches, table
 U = np.uint64
 
 
-def _word_sets(arr: pa.Array) -> list[np.ndarray]:
+def features(arr: pa.Array, prefixes: tuple = (4, 5)) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of words and of the first 4 and 5 bytes of longer ones, the row of each, and the number of rows."""
     w = tx.Words(arr, sep=tx.PUNCTUATED)
-    return [np.unique(w.hash[w.first[k] : w.first[k + 1]]) for k in range(w.n_docs)]
+    h, doc = [w.hash], [w.doc]
+    low = np.append(w.low, np.zeros(8, np.uint8))
+    for n in prefixes:
+        long = w.end - w.start > n
+        at = w.start[long]
+        head = np.full(len(at), n, U)
+        for k in range(n):
+            head = (head << U(8)) | low[at + k]
+        h.append(tx.mix(head)), doc.append(w.doc[long])
+    return np.concatenate(h), np.concatenate(doc), w.n_docs
+
+
+def _word_sets(arr: pa.Array) -> list[np.ndarray]:
+    h, doc, n = features(arr)
+    order = np.argsort(doc, kind="stable")
+    cut = np.searchsorted(doc[order], np.arange(n + 1))
+    return [np.unique(h[order[cut[k] : cut[k + 1]]]) for k in range(n)]
 
 
 def _collected(texts: DataFrame) -> list[np.ndarray]:
@@ -61,7 +78,7 @@ class Sparse:
         return self.flat[at], row
 
 
-def choose_features(p: list, u: list, least: int = 3, z: float = 3.0, most: int = 4096) -> np.ndarray:
+def choose_features(p: list, u: list, least: int = 3, z: float = 3.5, most: int = 4096) -> np.ndarray:
     hp, cp = np.unique(np.concatenate([*p, np.zeros(0, U)]), return_counts=True)
     hu, cu = np.unique(np.concatenate([*u, np.zeros(0, U)]), return_counts=True)
     keys = np.union1d(hp[cp >= least], hu[cu >= max(least, len(u) // 50)])
@@ -72,20 +89,19 @@ def choose_features(p: list, u: list, least: int = 3, z: float = 3.0, most: int
     return np.sort(keys[order[: most][score[order[:most]] >= z]])
 
 
-def train(p: list, u: list, prior: float, steps: int = 1500, batch: int = 512, lr: float = 0.1, l2: float = 1e-6, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
-    """Feature hashes, weights and bias that minimise the non-negative risk."""
+def train(p: list, u: list, prior: float, steps: int = 500, lr: float = 0.1, l2: float = 1e-6) -> tuple[np.ndarray, np.ndarray, float]:
+    """Feature hashes, weights and bias that minimise the non-negative risk, on the whole sample at each step."""
     keys = choose_features(p, u)
-    index, rng = tx.HashIndex(keys), np.random.default_rng(seed)
+    index = tx.HashIndex(keys)
     xp, xu = Sparse(p, index), Sparse(u, index)
+    (fp, ip), (fu, iu) = xp.take(np.arange(len(p))), xu.take(np.arange(len(u)))
     w = np.zeros(len(keys) + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     for t in range(1, steps + 1):
-        rp, ru = rng.integers(0, len(p), batch), rng.integers(0, len(u), 2 * batch)
-        (fp, ip), (fu, iu) = xp.take(rp), xu.take(ru)
-        zp = np.bincount(ip, weights=w[fp], minlength=len(rp)) + w[-1]
-        zu = np.bincount(iu, weights=w[fu], minlength=len(ru)) + w[-1]
+        zp = np.bincount(ip, weights=w[fp], minlength=len(p)) + w[-1]
+        zu = np.bincount(iu, weights=w[fu], minlength=len(u)) + w[-1]
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp_pos, gp_neg, gu = -prior * sigmoid(-zp) / len(zp), -prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
         gp, gu = (gp_pos + gp_neg, gu) if negative >= 0 else (-gp_neg, -gu)
@@ -93,7 +109,7 @@ def train(p: list, u: list, prior: float, steps: int = 1500, batch: int = 512, l
         g[-1] = gp.sum() + gu.sum()
         g[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= lr * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        w -= lr * (1 - 0.9 * t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return keys, w[:-1], float(w[-1])
 
 
@@ -103,17 +119,17 @@ def score_texts(docs: DataFrame, keys: np.ndarray, weights: np.ndarray, bias: fl
 
     def run(it):
         for b in batches(it, "text"):
-            w = tx.Words(b.column(1), sep=tx.PUNCTUATED)
-            at = index.find(w.hash)
+            h, doc, n = features(b.column(1))
+            at = index.find(h)
             hit = at >= 0
-            pair = np.unique(w.doc[hit] * max(1, len(keys)) + at[hit])
-            z = np.bincount(pair // max(1, len(keys)), weights=weights[pair % max(1, len(keys))], minlength=w.n_docs) + bias
+            pair = np.unique(doc[hit] * max(1, len(keys)) + at[hit])
+            z = np.bincount(pair // max(1, len(keys)), weights=weights[pair % max(1, len(keys))], minlength=n) + bias
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_p: int = 4000, most_u: int = 12000, threshold: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most_p: int = 3000, most_u: int = 9000, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted. Labels of rows with crc32(doc_id) mod 3 = 1 are never read."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     order = F.xxhash64("doc_id")
