@@ -6,7 +6,8 @@ mantissa. Empty buckets are densified: each borrows from the non-empty bucket th
 order of its own, so small sets collide with probability close to their Jaccard similarity as well.
 Documents with equal sets are one class. Classes are banded on compressed registers; each member of a band is
 compared with a few pivots (one with a smallest id, two by hash order), never all pairs, and what stays in
-different components is then compared across components. Candidates pass the collision-corrected estimate with
+different components is then compared across components (bands of more than `small` members in blocks, of which
+only links leave). Candidates pass the collision-corrected estimate with
 a margin of five standard deviations, then are confirmed on full sets made from the whole texts again.
 
 Chance of missing a pair at the threshold by banding: below 1e-6 for 0.85 (7 registers a band, 36 bands) and
@@ -150,7 +151,61 @@ def confirmed(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> D
     return both.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, rows: int | None = None) -> DataFrame:
+def _groups(it, keys: int) -> Iterator[pa.Table]:
+    """Tables of adjacent rows that agree in the first `keys` columns."""
+    held: list = []
+    for b in it:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(i).to_numpy() for i in range(keys)])
+        cut = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1), b.num_rows]
+        if held and any(held[-1].column(i)[0].as_py() != b.column(i)[0].as_py() for i in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            held.append(b.slice(i, j - i))
+            if j < b.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def across(members: DataFrame, texts: DataFrame, ngram: int, percent: int, block: int = 1024) -> DataFrame:
+    """Links between different components of one band. members: band, rep, n, c, m (the band's size). A band's
+    members are dealt into blocks and every two blocks meet in a task; only links leave it. The sets are exact."""
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "c")
+    dealt = dealt.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("band", "bi", "bj", "own", "rep", "c", "text")
+    dealt = dealt.repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj")
+
+    def run(it):
+        for t in _groups(it, 3):
+            bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
+            own, rep, c = (t.column(k).to_numpy() for k in ("own", "rep", "c"))
+            sets = [u for b in batches(iter(t.to_batches()), "text") for u in _sets(b.column(6), ngram)]
+            size = np.array([len(u) for u in sets])
+            begin = np.cumsum(size) - size
+            vals, at = np.unique(np.concatenate(sets), return_inverse=True)
+            comps, times = np.unique(c, return_counts=True)
+            found = set()
+            for i in np.flatnonzero(c != comps[times.argmax()]):
+                mark = np.zeros(len(vals), np.int64)
+                mark[at[begin[i] : begin[i] + size[i]]] = 1
+                inter = np.add.reduceat(mark[at], begin)
+                ok = (100 * inter >= percent * (size + size[i] - inter)) & (c != c[i])
+                if bi != bj:
+                    ok &= own != own[i]
+                found.update((min(rep[i], rep[j]), max(rep[i], rep[j])) for j in np.flatnonzero(ok))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, rows: int | None = None, small: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of the graph that links documents whose shingle sets
     reach `percent`, confirmed on full sets."""
     rows = rows or (7 if percent >= 85 else 6)
@@ -173,14 +228,15 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, rows: in
     texts = written(docs.join(hot.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "mh-text")
     links = written(confirmed(first, texts, ngram, percent), "mh-links")
     labels = connected_components(links)
-    # What pivots have not joined: members of one band in different components, compared across components.
-    named = banded.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
-    rest = written(named.join(mixed, "band", "left_semi"), "mh-rest")
-    x, y = rest.alias("x"), rest.alias("y")
+    # What pivots have not joined: members of one band in different components. Bands with equal members count once.
+    named = written(banded.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "mh-named")
+    mixed = named.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), *[F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"s{k}") for k in (1, 2)])
+    mixed = written(mixed.filter("lo < hi").dropDuplicates(["m", "s1", "s2"]).select("band", "m"), "mh-mixed")
+    x, y = (named.join(mixed.filter(F.col("m") <= small), "band").alias(k) for k in "xy")
     cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c")) & _similar_size("x.n", "y.n", percent))
     cross = cross.select(*order("x.rep", "y.rep")).distinct().join(first, ["a", "b"], "left_anti")
-    more = written(confirmed(written(estimated(cross, classes, percent), "mh-cross"), texts, ngram, percent), "mh-links")
+    more = confirmed(written(estimated(cross, classes, percent), "mh-cross"), texts, ngram, percent)
+    more = written(more.unionByName(across(named.join(mixed.filter(F.col("m") > small), "band"), texts, ngram, percent)), "mh-links")
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more))
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
