@@ -27,19 +27,24 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: An identifier-like token: it holds a digit; quotes, brackets and closing punctuation stay outside.
-TOKEN = r"[^\x20\x09-\x0D]++"
+#: An identifier-like token: a word that holds a digit.
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m>>: all matches of pattern with offsets, from the pieces between the matches."""
+def _found(text: Column, pattern: str, left: bool = False) -> Column:
+    """array<struct<s, e, m>>: all matches of pattern with offsets, from the pieces between the matches; with left
+    also the word before each match."""
     hits, gaps = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+    kind = "array<struct<s:int,e:int,m:string,left:string>>" if left else "array<struct<s:int,e:int,m:string>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["gap"])
         e = s + F.length(x["hit"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("m")))).alias("out"))
+        fields = [s.alias("s"), e.alias("e"), x["hit"].alias("m")]
+        if left:
+            fields.append(F.regexp_extract(F.right(x["gap"], F.lit(80)), r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*$", 1).alias("left"))
+        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(*fields))).alias("out"))
 
     pairs = F.zip_with(hits, gaps, lambda h, g: F.struct(g.alias("gap"), h.alias("hit")))
     return F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), zero, add, lambda a: a["out"])
@@ -102,10 +107,7 @@ def instances(found: DataFrame) -> DataFrame:
     """One row per identifier-like token: rid, s, e, pattern, shape, seed (it overlaps a base span)."""
     text = F.col("text")
     base = F.concat(*[F.col(f"b_{k}") for k in KINDS])
-    token = F.when(text.rlike("[0-9]"), _found(text, TOKEN)).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
-    toks = F.transform("tok", lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.when(i > 0, F.element_at(F.col("tok"), F.greatest(i, F.lit(1)))["m"]).otherwise(F.lit("^")).alias("left")))
-    keep = F.filter(toks, lambda x: x["m"].rlike("[0-9]"))
-    out = found.filter(text.rlike("[0-9]")).withColumns({"tok": token, "base": base}).withColumn("one", F.explode(keep))
+    out = found.filter(text.rlike("[0-9]")).withColumn("one", F.explode(_found(text, TOKEN, left=True))).withColumn("base", base)
     one = F.col("one")
     seed = F.exists("base", lambda b: (b["s"] < one["e"]) & (b["e"] > one["s"]))
     # A value after '=' or ':' carries its own context: name=value.
