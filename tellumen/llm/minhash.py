@@ -5,7 +5,7 @@ of each bucket's smallest hash the register keeps the count of leading zeros (6
 mantissa. Empty buckets are densified: each borrows from the non-empty bucket that comes first in a fixed random
 order of its own, so small sets collide with probability close to their Jaccard similarity as well.
 Documents with equal sets are one class. Classes are banded on compressed registers; each member of a band is
-compared with a few pivots (one with a smallest id, two by hash order), never all pairs, and what stays in
+compared with two pivots (the smallest id, and the first in a hash order), never all pairs, and what stays in
 different components is then compared across components (bands of more than `small` members in blocks, of which
 only links leave). Candidates pass the collision-corrected estimate with
 a margin of five standard deviations, then are confirmed on full sets made from the whole texts again.
@@ -217,10 +217,10 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, rows: in
     pivots = banded.groupBy("band").agg(
         F.count(F.lit(1)).alias("members"),
         F.min(F.struct("rep", "n")).alias("p0"),
-        *[F.min(F.struct(F.xxhash64(F.lit(k), "rep").alias("o"), "rep", "n")).alias(f"p{k}") for k in (1, 2)],
+        F.min(F.struct(F.xxhash64(F.lit(1), "rep").alias("o"), "rep", "n")).alias("p1"),
     ).filter("members > 1")
     near = banded.join(pivots, "band")
-    near = near.select("band", "rep", "n", F.explode(F.array(*[F.struct(F.col(f"p{k}.rep").alias("rep"), F.col(f"p{k}.n").alias("n")) for k in range(3)])).alias("p"))
+    near = near.select("band", "rep", "n", F.explode(F.array(*[F.struct(F.col(f"p{k}.rep").alias("rep"), F.col(f"p{k}.n").alias("n")) for k in range(2)])).alias("p"))
     order = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     first = near.filter((F.col("rep") != F.col("p.rep")) & _similar_size("n", "p.n", percent)).select(*order("rep", "p.rep")).distinct()
     first = written(estimated(first, classes, percent), "mh-pairs")
