@@ -37,8 +37,8 @@ def held_out_splits(drives: DataFrame, column: str, strata: list[str], cal: floa
 def violations(split: DataFrame, column: str) -> DataFrame:
     """Per fold: held-out rows outside test (leaked), other rows inside it (outside), drives in two parts, empty test or cal."""
     own = F.col(column) == F.col("fold")
-    twice = split.groupBy("fold", *KEY).agg(F.count_distinct("part").alias("n")).groupBy("fold").agg(F.count_if(F.col("n") > 1).alias("overlaps"))
-    out = split.groupBy("fold").agg(F.count_if(own & (F.col("part") != "test")).alias("leaked"), F.count_if(~own & (F.col("part") == "test")).alias("outside"), F.count_if(F.col("part") == "test").alias("n_test"), F.count_if(F.col("part") == "cal").alias("n_cal"))
+    twice = split.groupBy("fold", *KEY).agg(F.count_distinct("part").alias("n")).groupBy("fold").agg(F.count_if(F.col("n") > 1).alias("n_overlaps"))
+    out = split.groupBy("fold").agg(F.count_if(own & (F.col("part") != "test")).alias("n_leaked"), F.count_if(~own & (F.col("part") == "test")).alias("n_outside"), F.count_if(F.col("part") == "test").alias("n_test"), F.count_if(F.col("part") == "cal").alias("n_cal"))
     return out.join(twice, "fold")
 
 

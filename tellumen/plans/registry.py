@@ -136,7 +136,8 @@ def _(spark, d):
     return sp.held_out_splits(_drives(spark, d), "model", ["drive_label"]).select("model", "disk_id", "fold", "part")
 
 
-@query("sp7_validate", f"SELECT fold, count(*) FILTER (vendor = fold AND part <> 'test') AS leaked, count(*) FILTER (vendor <> fold AND part = 'test') AS outside, count(*) FILTER (part = 'test') AS n_test, count(*) FILTER (part = 'cal') AS n_cal, 0::BIGINT AS overlaps FROM {_LOMO} GROUP BY fold", _LABELS)
+@query("sp7_validate", f"""SELECT fold, sum(leaked)::BIGINT AS n_leaked, sum(outside)::BIGINT AS n_outside, sum(t)::BIGINT AS n_test, sum(c)::BIGINT AS n_cal, count(*) FILTER (parts > 1) AS n_overlaps
+FROM (SELECT fold, model, disk_id, count(*) FILTER (vendor = fold AND part <> 'test') AS leaked, count(*) FILTER (vendor <> fold AND part = 'test') AS outside, count(*) FILTER (part = 'test') AS t, count(*) FILTER (part = 'cal') AS c, count(DISTINCT part) AS parts FROM {_LOMO} GROUP BY ALL) GROUP BY fold""", _LABELS)
 def _(spark, d):
     return sp.violations(sp.held_out_splits(_drives(spark, d), "vendor", ["model", "drive_label"]), "vendor")
 
