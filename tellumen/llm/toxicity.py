@@ -105,7 +105,8 @@ def train(p: list, u: list, prior: float, steps: int = 500, lr: float = 0.1, l2:
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp_pos, gp_neg, gu = -prior * sigmoid(-zp) / len(zp), -prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
         gp, gu = (gp_pos + gp_neg, gu) if negative >= 0 else (-gp_neg, -gu)
-        g = np.bincount(fp, weights=gp[ip], minlength=len(w)) + np.bincount(fu, weights=gu[iu], minlength=len(w))
+        g = np.zeros(len(w))  # bincount gives integers for no features at all
+        g += np.bincount(fp, weights=gp[ip], minlength=len(w)) + np.bincount(fu, weights=gu[iu], minlength=len(w))
         g[-1] = gp.sum() + gu.sum()
         g[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
