@@ -58,3 +58,46 @@ def drive_table(labelled: DataFrame) -> DataFrame:
 def label_summary(labelled: DataFrame) -> DataFrame:
     rows = labelled.groupBy("vendor", *KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"), F.max("label").alias("fails"))
     return rows.groupBy("vendor").agg(F.count(F.lit(1)).alias("drives"), F.sum("fails").alias("failing"), F.sum("n").alias("n_rows"), F.sum("pos").alias("positives"), F.round(100.0 * F.sum("pos") / F.sum("n"), 4).alias("pct_positive"))
+
+
+def multi_horizon(labelled: DataFrame, horizons: list[int]) -> DataFrame:
+    """Every row once per horizon, with that horizon's label."""
+    rows = labelled.drop("label").withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    return rows.withColumn("label", in_horizon(F.col("dtf"), F.col("horizon")))
+
+
+def key_collisions(df: DataFrame, key: str, other: str) -> DataFrame:
+    """n: keys that occur with more than one value of other."""
+    many = df.groupBy(key).agg((F.min(other) < F.max(other)).alias("many"))
+    return many.agg(F.count_if("many").alias("n"))
+
+
+def _per_drive(df: DataFrame, cond: Column) -> DataFrame:
+    return df.withColumn("dtf", days_to_failure()).groupBy(*KEY).agg(F.count_if(F.coalesce(cond, F.lit(False))).alias("n"), F.max("failure_time").alias("failed"))
+
+
+def post_failure_profile(df: DataFrame, limits: list[int]) -> DataFrame:
+    """Days on or after the failure, per drive that has any, described in one row; quartiles are observed values."""
+    n = _per_drive(df, F.col("dtf") <= 0).filter("n > 0")
+    quart = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY n)").cast("long").alias(name) for q, name in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))]
+    return n.agg(F.count(F.lit(1)).alias("drives"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_samp("n"), 6).alias("sd"), F.min("n").alias("lo"), *quart, F.max("n").alias("hi"), *[F.count_if(F.col("n") > k).alias(f"over_{k}") for k in limits])
+
+
+def horizon_coverage(df: DataFrame, horizon: int) -> DataFrame:
+    """Failed drives with any, all or none of the horizon's days."""
+    n = _per_drive(df, (F.col("dtf") > 0) & (F.col("dtf") <= horizon)).filter("failed IS NOT NULL")
+    return n.agg(F.count(F.lit(1)).alias("failed"), F.count_if(F.col("n") >= 1).alias("at_least_one"), F.count_if(F.col("n") == horizon).alias("whole"), F.count_if(F.col("n") == 0).alias("none"))
+
+
+def history_profile(df: DataFrame, horizon: int, least: int) -> DataFrame:
+    """Days of failed drives before the horizon begins."""
+    n = _per_drive(df, F.col("dtf") > horizon).filter("failed IS NOT NULL")
+    return n.agg(F.count(F.lit(1)).alias("failed"), F.round(F.avg("n"), 6).alias("mean"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count_if(F.col("n") >= least).alias("enough"))
+
+
+def censoring_depth(df: DataFrame, limits: list[int]) -> DataFrame:
+    """Drives without a failure by the days from their last row to the last of all."""
+    end = F.broadcast(df.agg(F.max("ds").alias("end")))
+    last = df.filter("failure_time IS NULL").groupBy(*KEY).agg(F.max("ds").alias("last")).crossJoin(end)
+    gap = F.datediff("end", "last")
+    return last.agg(F.count(F.lit(1)).alias("drives"), *[F.count_if(gap > k).alias(f"over_{k}") for k in limits])

@@ -1 +1,4 @@
-"""plans of the engine."""
+"""Query registry: registry.py holds the table, the other modules add to it."""
+
+from tellumen.plans import registry  # noqa: F401
+from tellumen.plans import panel_queries  # noqa: F401

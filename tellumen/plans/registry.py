@@ -175,9 +175,9 @@ def _(spark, d):
     return _windows(spark, d).select("model", "disk_id", "vendor", "end_ds", "y", F.round("presence", 6).alias("presence"))
 
 
-@query("ts12_flatten_stats", f"SELECT model, disk_id, ds AS end_ds, {', '.join(f'round({c}, 4) + 0 AS {c}' for c in _STATS)} FROM win", _DENSE)
+@query("ts12_flatten_stats", f"SELECT model, disk_id, ds AS end_ds, {', '.join(f'round({c}::DECIMAL(24, 9), 4)::DOUBLE + 0 AS {c}' for c in _STATS)} FROM win", _DENSE)
 def _(spark, d):
-    return _windows(spark, d).select("model", "disk_id", "end_ds", *[(F.round(c, 4) + 0).alias(c) for c in _STATS])
+    return _windows(spark, d).select("model", "disk_id", "end_ds", *[(F.round(F.round(c, 9), 4) + 0).alias(c) for c in _STATS])
 
 
 @query("ts16_quantile_stages", "SELECT vendor, round(quantile_cont(r_9, 0.25), 6) AS e1, round(quantile_cont(r_9, 0.5), 6) AS e2, round(quantile_cont(r_9, 0.75), 6) AS e3 FROM labelled GROUP BY vendor", _LABELS)
