@@ -102,3 +102,10 @@ def cluster_se(df: DataFrame, value: Column, groups: list[str]) -> DataFrame:
     """Mean of per-drive means and its standard error over drives."""
     d = df.groupBy(*groups, "drive").agg(F.avg(value).alias("m"))
     return d.groupBy(*groups).agg(F.count(F.lit(1)).alias("drives"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_samp("m") / F.sqrt(F.count(F.lit(1))), 6).alias("se"))
+
+
+def composition(df: DataFrame, groups: list[str]) -> DataFrame:
+    """Per cent of sets with one label, both or none."""
+    h, f = F.col("set_h"), F.col("set_f")
+    share = lambda c, name: F.round(100 * F.avg(c.cast("int")), 4).alias(name)
+    return df.groupBy(*groups).agg(share(h & ~f, "only_healthy"), share(f & ~h, "only_failing"), share(h & f, "both_labels"), share(~h & ~f, "no_label"))
