@@ -53,7 +53,7 @@ def _(spark, d):
     return wt.calibration_error(scored(spark, d), IDS)
 
 
-@query("mt15_alert_budget", "SELECT round(any_value(t), 6) AS threshold, count(*) FILTER (p >= t) AS alerts, count(*) FILTER (p >= t AND y = 1) AS hits FROM sets, (SELECT min(CASE WHEN k = floor(at) THEN p END) + (min(CASE WHEN k = ceil(at) THEN p END) - min(CASE WHEN k = floor(at) THEN p END)) * any_value(at - floor(at)) AS t FROM (SELECT p, row_number() OVER (ORDER BY p) - 1 AS k, (count(*) OVER () - 1) * (1 - (SELECT avg((set_f AND NOT set_h)::INT) FROM sets)) AS at FROM sets))", _sets("class"))
+@query("mt15_alert_budget", "SELECT round(any_value(t), 6) AS threshold, count(*) FILTER (p >= t) AS alerts, count(*) FILTER (p >= t AND y = 1) AS hits FROM sets, (SELECT min(CASE WHEN k = floor(spot) THEN p END) + (min(CASE WHEN k = ceil(spot) THEN p END) - min(CASE WHEN k = floor(spot) THEN p END)) * any_value(spot - floor(spot)) AS t FROM (SELECT p, row_number() OVER (ORDER BY p) - 1 AS k, (count(*) OVER () - 1) * (1 - (SELECT avg((set_f AND NOT set_h)::INT) FROM sets)) AS spot FROM sets))", _sets("class"))
 def _(spark, d):
     cal, test = _parts(spark, d)
     s = cp.predict(test, cal, 0.1, "class")
