@@ -7,7 +7,7 @@ import pytest
 
 from tellumen.plans.registry import QUERIES, SQL
 
-DIR = "/root/testdata/sf0.001"
+DIR = os.environ.get("TELLUMEN_TEST_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
