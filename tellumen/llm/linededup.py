@@ -2,12 +2,17 @@
 
 Lines are hashed; a rolling hash over the last two line hashes ends a chunk where it hits a fixed residue, so
 boundaries depend on nearby lines alone and survive insertions elsewhere. A line of `long_words` words or more
-is a chunk of its own, which singles out long shared passages wherever they stand. Chunks that occur more than
-once in the corpus, and that span two lines or hold a long line, are candidates: the first occurrence (smallest
-doc_id, then position) stays, every other one is removed after its bytes have been compared with the first's.
-
-Passes: (1) chunk hashes of every document; (2) a count by hash; (3) the candidates' bytes against the first
-occurrence's; (4) the removal, joined by doc_id. Texts move by doc_id once, candidate bytes by hash once.
+is a chunk of its own. Beside the chunks, every line opens and closes a window: the fewest lines from it on, or
+up to it, that hold `long_words` words. A window depends on its own lines alone, and the windows inside a shared
+run of whole lines with `long_words` words or more cover all of the run's lines that have words, whatever stands
+before and after it. Windows, and chunks that span two lines or hold a long line, are candidates where they occur
+more than once in the corpus: the first occurrence (smallest doc_id, then position) is left, the lines of every
+other one are removed after its bytes have been compared with the first's. Each removed line thus has an equal
+one at an earlier place, and the first of equal lines is never removed. An occurrence that overlaps the first one
+in its own document loses only the lines behind it. A passage that fills only a part of its line is no candidate.
+
+Passes: (1) hashes of every document's chunks and windows; (2) a count by hash; (3) the candidates' bytes against
+the first occurrence's; (4) the removal, joined by doc_id. Texts move by doc_id once, candidate bytes by hash once.
 
 Defined results: null text stays null with no chunks; empty text has one empty line, never removed; rows that
 repeat a doc_id are told apart by their text's hash, and of equal rows the first chunk stays in each; a document
@@ -26,10 +31,11 @@ from tellumen.llm import textops as tx
 from tellumen.llm.common import batches, table, written
 
 U = np.uint64
+BASE, BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
 class Chunks:
-    """Chunks of one slice of texts: byte ranges, hashes and whether they can be removed."""
+    """Chunks and lines of one slice of texts, and the runs of lines that can be removed, with byte ranges and hashes."""
 
     def __init__(self, arr: pa.Array, mean: int, long_words: int, least_bytes: int):
         data, off = tx.buffers(arr)
@@ -57,15 +63,31 @@ class Chunks:
         opens[1:] |= stop[:-1] | long[1:]
         at = np.flatnonzero(opens)
         last = np.append(at[1:], len(begin)) - 1
-        self.data, self.doc, self.begin, self.end = data, doc[at], begin[at], end[last]
-        self.n_lines = last - at + 1
-        acc = np.add.reduceat(words, at) if len(at) else np.zeros(0, int)
-        self.words = acc
-        idx = np.arange(len(begin)) - np.repeat(at, self.n_lines)
+        self.data, self.begin, self.end = data, begin, end
+        #: Each document's first line and first chunk, n_docs + 1 each; each chunk's first line.
+        self.line = np.searchsorted(doc, np.arange(n_docs + 1))
+        self.chunk = np.searchsorted(doc[at], np.arange(n_docs + 1))
+        self.opens = at
+        # Candidates (first line, last line): chunks of two lines or one long line, and windows.
+        able = ((last > at) | long[at]) & (end[last] - begin[at] >= least_bytes)
+        total = np.concatenate([[0], np.cumsum(words)])
+        some = np.flatnonzero(words > 0)
+        to = np.searchsorted(total, total[some] + long_words) - 1
+        since = np.searchsorted(total, total[some + 1] - long_words, side="right") - 1
+        ahead = to < self.line[doc[some] + 1]
+        behind = since >= self.line[doc[some]]
+        i = np.concatenate([at[able], some[ahead], since[behind]])
+        j = np.concatenate([last[able], to[ahead], some[behind]])
+        wide = (j > i) & (end[j] - begin[i] >= least_bytes)
+        wide[: int(able.sum())] = True
+        self.i, self.j = np.divmod(np.unique(i[wide] * len(begin) + j[wide]), max(1, len(begin)))
+        self.n_bytes = end[self.j] - begin[self.i]
+        self.of = doc[self.i]
+        # A run's hash from sums of line hashes times powers of an odd number, moved back by the power's inverse.
         with np.errstate(over="ignore"):
-            self.hash = tx.mix(np.add.reduceat(h * tx.coefficients(int(idx.max()) + 1, 3)[idx], at) + self.n_lines.astype(U)) if len(at) else np.zeros(0, U)
-        self.pos = np.arange(len(at)) - np.searchsorted(self.doc, self.doc)
-        self.able = ((self.n_lines >= 2) | long[at]) & (self.end - self.begin >= least_bytes)
+            power, back = (np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(len(begin), x, U)])) for x in (BASE, BACK))
+            acc = np.concatenate([np.zeros(1, U), np.add.accumulate(h * power[:-1])])
+            self.hash = tx.mix((acc[self.j + 1] - acc[self.i]) * back[self.i] + (self.j - self.i + 1).astype(U))
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -73,39 +95,41 @@ def _key(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, mean: int = 3, long_words: int = 50, least_bytes: int = 24) -> DataFrame:
-    """docs with `text` replaced, plus ld_chunks and ld_removed (chunks in all, chunks removed)."""
+    """docs with `text` replaced, plus ld_chunks and ld_removed (chunks in all, chunks that lost lines)."""
     args = (mean, long_words, least_bytes)
 
     def hashes(it):
         for b in batches(it, "text"):
             c = Chunks(b.column(1), *args)
-            k = c.able
-            d = pa.array(c.doc[k])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(d), b.column(2).take(d), pa.array(c.pos[k].astype(np.int32)), pa.array(tx.signed(c.hash[k])), pa.array((c.end - c.begin)[k])], ["doc_id", "th", "pos", "h", "n_bytes"])
+            d = pa.array(c.of)
+            pos, n = c.i - c.line[c.of], c.j - c.i + 1
+            yield pa.RecordBatch.from_arrays([b.column(0).take(d), b.column(2).take(d), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(tx.signed(c.hash)), pa.array(c.n_bytes)], ["doc_id", "th", "pos", "n", "h", "n_bytes"])
 
     keyed = _key(docs)
-    occ = written(keyed.filter("text IS NOT NULL").mapInArrow(hashes, "doc_id long, th long, pos int, h long, n_bytes long"), "ld-chunks")
-    multi = occ.groupBy("h", "n_bytes").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("first")).filter("n > 1").drop("n")
-    cand = occ.join(multi, ["h", "n_bytes"]).select("doc_id", "th", F.struct("pos", "h", (F.struct("doc_id", "th", "pos") == F.col("first")).alias("one")).alias("c"))
+    occ = written(keyed.filter("text IS NOT NULL").mapInArrow(hashes, "doc_id long, th long, pos int, n int, h long, n_bytes long"), "ld-chunks")
+    multi = occ.groupBy("h", "n_bytes").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "th", "pos")).alias("first")).filter("k > 1").drop("k")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    skip = F.when(own, F.greatest(F.lit(0), F.col("first.pos") + F.col("n") - F.col("pos"))).otherwise(0)
+    cand = occ.join(multi, ["h", "n_bytes"]).select("doc_id", "th", F.struct("pos", "n", "h", (own & (F.col("pos") == F.col("first.pos"))).alias("one"), skip.alias("skip")).alias("c"))
     cand = written(cand.groupBy("doc_id", "th").agg(F.collect_list("c").alias("cs")), "ld-cand")
 
     def bytes_of(it):
         for b in batches(it, "text"):
             c = Chunks(b.column(1), *args)
-            at = np.searchsorted(c.doc, np.arange(b.num_rows))
-            rows = [[], [], [], [], [], []]
+            rows = [[], [], [], [], [], [], []]
             for k, (doc, th, cs) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 for x in cs:
-                    i = at[k] + x["pos"]
-                    for col, v in zip(rows, (doc, th, x["pos"], x["h"], x["one"], c.data[c.begin[i] : c.end[i]].tobytes()), strict=True):
+                    i = c.line[k] + x["pos"]
+                    body = c.data[c.begin[i] : c.end[i + x["n"] - 1]].tobytes()
+                    for col, v in zip(rows, (doc, th, x["pos"] + x["skip"], x["pos"] + x["n"], x["h"], x["one"], body), strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["doc_id", "th", "pos", "h", "one", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["doc_id", "th", "pos", "stop", "h", "one", "body"])
 
     null_safe = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["th"] == y["th"])
     both = keyed.join(cand, null_safe(keyed, cand), "inner").select(keyed["doc_id"], "text", keyed["th"], "cs")
-    body = written(both.mapInArrow(bytes_of, "doc_id long, th long, pos int, h long, one boolean, body binary"), "ld-bytes")
+    body = written(both.mapInArrow(bytes_of, "doc_id long, th long, pos int, stop int, h long, one boolean, body binary"), "ld-bytes")
     ones = body.filter("one").dropDuplicates(["h"]).select("h", F.col("body").alias("kept_body"))
-    gone = body.filter("NOT one").join(ones, "h").filter("body = kept_body").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
+    gone = body.filter("NOT one").join(ones, "h").filter("body = kept_body").groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "stop")).alias("gone"))
     names = [f"ld_{k}_{c}" for k, c in enumerate(docs.columns)]
     wide = docs.toDF(*names).withColumns({"ld__id": F.col(names[docs.columns.index("doc_id")]).cast("long"), "ld__th": F.xxhash64(names[docs.columns.index("text")])})
     wide = wide.join(gone.withColumnsRenamed({"doc_id": "g_id", "th": "g_th"}), F.col("ld__id").eqNullSafe(F.col("g_id")) & (F.col("ld__th") == F.col("g_th")), "left")
@@ -115,19 +139,21 @@ def dedup_lines(docs: DataFrame, mean: int = 3, long_words: int = 50, least_byte
         for b in batches(it, text):
             col = b.column(b.schema.get_field_index(text))
             c = Chunks(col, *args)
-            at = np.searchsorted(c.doc, np.arange(b.num_rows + 1))
             new, total, removed = [], [], []
             for k, gone_k in enumerate(b.column(b.schema.get_field_index("gone")).to_pylist()):
                 if not col[k].is_valid:
                     new.append(None), total.append(0), removed.append(0)
                     continue
-                total.append(int(at[k + 1] - at[k]))
-                removed.append(len(gone_k or ()))
+                total.append(int(c.chunk[k + 1] - c.chunk[k]))
                 if not gone_k:
-                    new.append(col[k].as_py())
+                    new.append(col[k].as_py()), removed.append(0)
                     continue
-                drop = set(gone_k)
-                kept = [c.data[c.begin[i] : c.end[i]].tobytes() for i in range(at[k], at[k + 1]) if i - at[k] not in drop]
+                at, n = c.line[k], c.line[k + 1] - c.line[k]
+                drop = np.zeros(n, bool)
+                for x in gone_k:
+                    drop[x["pos"] : x["stop"]] = True
+                removed.append(int(np.logical_or.reduceat(drop, c.opens[c.chunk[k] : c.chunk[k + 1]] - at).sum()))
+                kept = [c.data[c.begin[i] : c.end[i]].tobytes() for i in at + np.flatnonzero(~drop)]
                 new.append(b"\n".join(kept).decode())
             cols = [pa.array(new, col.type) if n == text else b.column(b.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*names, "ld__total", "ld__removed"])
