@@ -5,7 +5,7 @@ are dropped without a retry. Quantifiers are written possessively and anchored a
 match that starts where the last one ended), which accepts the same spans in linear time and without recursion.
 
 The bootstrap: base entities are the seeds. Every identifier-like token (it holds a digit) is an instance; the
-word before it, with digits folded, is its lexical pattern. Spark scores the pattern-instance graph over several
+word before it, with digits folded, is its lexical pattern (`^` at a text's begin). Spark scores the pattern-instance graph over several
 rounds: a pattern's confidence is the smoothed mean score of its instances, an instance's score the noisy-or of
 its patterns' confidences. Instances are generalised by shape. Patterns of high confidence and enough distinct
 seeds then mark unseen identifiers, as spans of kind `context`. Counts cover all documents.
@@ -29,22 +29,26 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 #: An identifier-like token: a word that holds a digit.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: The last word of a text.
+LAST = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+\z"
 
 
 def _found(text: Column, pattern: str, left: bool = False) -> Column:
     """array<struct<s, e, m>>: all matches of pattern with offsets, from the pieces between the matches; with left
-    also the word before each match."""
+    also the word before each match: the last one of the gap, or else the match before, or else `^`."""
     hits, gaps = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0)), F.split(text, pattern, -1)
     kind = "array<struct<s:int,e:int,m:string,left:string>>" if left else "array<struct<s:int,e:int,m:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"), *([F.lit("^").alias("before")] if left else []))
 
     def add(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["gap"])
         e = s + F.length(x["hit"])
         fields = [s.alias("s"), e.alias("e"), x["hit"].alias("m")]
         if left:
-            fields.append(F.regexp_extract(F.right(x["gap"], F.lit(80)), r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*$", 1).alias("left"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(*fields))).alias("out"))
+            word = F.regexp_extract(x["gap"], LAST, 1)
+            fields.append(F.when(word == "", acc["before"]).otherwise(word).alias("left"))
+        out = F.concat(acc["out"], F.array(F.struct(*fields))).alias("out")
+        return F.struct(e.alias("at"), out, *([x["hit"].alias("before")] if left else []))
 
     pairs = F.zip_with(hits, gaps, lambda h, g: F.struct(g.alias("gap"), h.alias("hit")))
     return F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), zero, add, lambda a: a["out"])
@@ -100,7 +104,7 @@ def spans(docs: DataFrame) -> DataFrame:
 def _shape(m: Column) -> Column:
     """Digits to 9, lower case to a, upper case to A, runs collapsed."""
     m = F.translate(m, "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "9" * 10 + "a" * 26 + "A" * 26)
-    return F.substring(F.regexp_replace(F.regexp_replace(m, "9++", "9"), "[aA9]{3,}+", "x9"), 1, 64)
+    return F.regexp_replace(F.regexp_replace(m, "9++", "9"), "[aA9]{3,}+", "x9")
 
 
 def instances(found: DataFrame) -> DataFrame:
@@ -113,7 +117,7 @@ def instances(found: DataFrame) -> DataFrame:
     # A value after '=' or ':' carries its own context: name=value.
     named = one["m"].rlike("^[A-Za-z_]++[=:]")
     pattern = F.when(named, F.regexp_extract(one["m"], "^([A-Za-z_]++[=:])", 1)).otherwise(one["left"])
-    pattern = F.substring(F.lower(F.regexp_replace(pattern, "[0-9]++", "9")), 1, 64)
+    pattern = F.lower(F.regexp_replace(pattern, "[0-9]++", "9"))
     return out.select("rid", one["s"].alias("s"), one["e"].alias("e"), pattern.alias("pattern"), _shape(one["m"]).alias("shape"), seed.cast("int").alias("seed"))
 
 
