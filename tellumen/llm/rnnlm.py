@@ -8,9 +8,10 @@ two and last two letters, learned from the same corpus, and the closing punctuat
 word has (c + 0.1) / (sum over the class + 0.1), so the model is a distribution over words plus one unknown word
 for each spelling class. P(word) = P(class | state) P(word | class, state).
 
-Training is local SGD: each task trains on segments of its own documents, every segment of the corpus with the
-same chance `rate` in each round, backpropagating through windows of 32 words with state carried between them;
-the parameters are then averaged, weighted by words. The volume grows with the corpus and no document is cut.
+Training is local SGD: each task trains on segments of its own documents, backpropagating through windows of 32
+words with state carried between them; the parameters are then averaged, weighted by words. A hash of doc_id,
+text and the segment's offset gives every segment of the corpus its one round; `rate` is the share of segments
+that train, all by default. A task trains on `most` segments at a time. The volume grows with the corpus.
 Scoring reads whole texts; hidden state is carried across windows from a text's first word to its end.
 Rare words' counts come from a join with the count table, after the `top` words have been settled by broadcast.
 
@@ -283,37 +284,51 @@ def train_segments(net: Gru, inputs: np.ndarray, cls: np.ndarray, word: np.ndarr
             net.flat -= (lr * (1 - 0.9 * t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
 
 
-def train(docs: DataFrame, voc: Vocabulary, rate: float, rounds: int, segment: int = 256, batch: int = 64) -> Gru:
+def drawn_segments(text: pa.Array, key: np.ndarray, voc: Vocabulary, k: int, rounds: int, rate: float, segment: int):
+    """(input, class, word) of each segment that trains in round k. key: a hash of each row's doc_id and text."""
+    w = tx.Words(text)
+    _, word, cls, inp = encode(w, voc)
+    limit = round(rate * 2**32)
+    for d in range(w.n_docs):
+        i, j = w.first[d], w.first[d + 1]
+        whole = [np.append(x[i:j], 0) for x in (cls, word, inp)]
+        before = np.concatenate([[0], whole[2][:-1]])
+        pieces = np.arange(0, j - i + 1, segment)
+        draw = tx.mix(key[d] ^ tx.mix(pieces.astype(U) + U(1)))
+        for s in pieces[((draw >> U(32)) < U(limit)) & ((draw & U(2**32 - 1)) % U(rounds) == U(k))]:
+            yield before[s : s + segment], whole[0][s : s + segment], whole[1][s : s + segment]
+
+
+def train(docs: DataFrame, voc: Vocabulary, rate: float, rounds: int, segment: int = 256, batch: int = 64, most: int = 4096) -> Gru:
     net = Gru(voc)
-    limit = int(rate * 2**32)
     for k in range(rounds):
         flat = net.flat
 
         def run(it, k=k, flat=flat):
-            local, found, words = Gru(voc, flat), [], 0
-            for b in batches(it, "text"):
-                w = tx.Words(b.column(0))
-                _, word, cls, inp = encode(w, voc)
-                for d in range(b.num_rows):
-                    i, j = w.first[d], w.first[d + 1]
-                    whole = [np.append(x[i:j], 0) for x in (cls, word, inp)]
-                    before = np.concatenate([[0], whole[2][:-1]])
-                    pieces = np.arange(0, j - i + 1, segment)
-                    draw = tx.mix(np.full(len(pieces), int(w.hash[i]) if j > i else 0, U) ^ tx.mix(pieces.astype(U) + U(k << 40)))
-                    for s in pieces[(draw >> U(32)) < U(limit)]:
-                        found.append((before[s : s + segment], whole[0][s : s + segment], whole[1][s : s + segment]))
-            if found:
+            local, found, words, groups = Gru(voc, flat), [], 0, 0
+
+            def flush():
                 size = np.array([len(f[0]) for f in found])
-                words = int(size.sum())
                 padded = [np.zeros((len(found), int(size.max())), np.int64) for _ in range(3)]
                 for r, f in enumerate(found):
                     for col, x in zip(padded, f, strict=True):
                         col[r, : len(x)] = x
-                train_segments(local, *padded, size, 0.02 / (k + 1), batch, seed=k)
+                train_segments(local, *padded, size, 0.02 / (k + 1), batch, seed=k + rounds * groups)
+                found.clear()
+                return int(size.sum())
+
+            for b in batches(it, "text"):
+                key = b.column(1).to_numpy().view(U)
+                for one in drawn_segments(b.column(0), key, voc, k, rounds, rate, segment):
+                    found.append(one)
+                    if len(found) == most:
+                        words, groups = words + flush(), groups + 1
+            if found:
+                words += flush()
             body = np.append(local.flat.astype(np.float64) * words, words)
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([body.tobytes()], pa.binary())], ["part", "body"])
 
-        got = summed(docs.select("text").mapInArrow(run, "part int, body binary")).collect()
+        got = summed(docs.select("text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(run, "part int, body binary")).collect()
         total = np.frombuffer(got[0].body) if got else np.zeros(len(flat) + 1)
         if total[-1] > 0:
             net = Gru(voc, total[:-1] / total[-1])
@@ -403,7 +418,7 @@ def score_texts(docs: DataFrame, voc: Vocabulary, net: Gru, most_words: int = 1_
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, OUT)
 
 
-def language_model_scores(docs: DataFrame, top: int = 1 << 18, frequent: int = 1024, rate: float = 1 / 16, rounds: int = 2, most_langs: int = 8) -> DataFrame:
+def language_model_scores(docs: DataFrame, top: int = 1 << 18, frequent: int = 1024, rate: float = 1.0, rounds: int = 2, most_langs: int = 8) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
     docs = docs.select("doc_id", "text", "lang")
