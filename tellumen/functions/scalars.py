@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,13 +70,22 @@ def valid_scores(p: str = "p", y: str = "y") -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("probability or label out of range")))
 
 
+def bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f names it: inside a lambda nothing else keeps a common
+    subexpression from being computed again for every element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def median(arr: Column) -> Column:
-    s, n = F.array_sort(arr), F.size(arr)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+    def middle(s):
+        n = F.size(s)
+        return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+
+    return bind(F.sort_array(arr), middle)
 
 
 def spread(arr: Column) -> Column:
     """Population standard deviation of an array."""
     n = F.size(arr)
-    m = F.aggregate(arr, F.lit(0.0), lambda a, v: a + v) / n
-    return F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / n)
+    mean = F.aggregate(arr, F.lit(0.0), lambda a, v: a + v) / n
+    return bind(mean, lambda m: F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / n))

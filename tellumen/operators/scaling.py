@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tellumen.functions.scalars import median, searchsorted, spread, zero_missing
+from tellumen.functions.scalars import bind, median, searchsorted, spread, zero_missing
 from tellumen.sources.fleet import KEY
 
 def _drive():
@@ -69,11 +69,22 @@ def steps(c: str, length: int) -> Column:
 
 def self_scaled(arr: Column, head: int = 5, eps: float = 1e-8) -> Column:
     """A window by the median and MAD of its own first steps; the window's spread, then 1, replace a MAD of 0."""
-    first = F.slice(arr, 1, head)
-    centre = median(first)
-    mad, sd = median(F.transform(first, lambda v: F.abs(v - centre))), spread(arr)
-    scale = F.when(mad > eps, mad).when(sd > eps, sd).otherwise(1.0)
-    return F.transform(arr, lambda v: zero_missing((v - centre) / scale))
+    return bind(_own_scale(arr, head, eps), lambda s: F.transform(arr, lambda v: zero_missing((v - s["centre"]) / s["scale"])))
+
+
+def self_scaled_last(arr: Column, head: int = 5, eps: float = 1e-8) -> Column:
+    """The last element of self_scaled, without scaling the others."""
+    return bind(_own_scale(arr, head, eps), lambda s: zero_missing((F.element_at(arr, -1) - s["centre"]) / s["scale"]))
+
+
+def _own_scale(arr: Column, head: int, eps: float) -> Column:
+    """centre, scale of a window, each step evaluated once a window."""
+
+    def scale(first, centre):
+        mad = median(F.transform(first, lambda v: F.abs(v - centre)))
+        return bind(mad, lambda m: F.when(m > eps, m).otherwise(bind(spread(arr), lambda sd: F.when(sd > eps, sd).otherwise(1.0))))
+
+    return bind(F.slice(arr, 1, head), lambda first: bind(median(first), lambda c: F.struct(c.alias("centre"), scale(first, c).alias("scale"))))
 
 
 def flatten_full(df: DataFrame, features: list[str], length: int) -> DataFrame:

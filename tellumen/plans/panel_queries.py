@@ -66,7 +66,7 @@ _MAD = ", ".join(f"list_aggregate(list_transform({c}_w[1:5], lambda v: abs(v - {
 @query("ts7_per_drive", "SELECT model, disk_id, ds, " + ", ".join(f"round(({c} - {c}_m) / CASE WHEN {c}_d > 1e-8 THEN {c}_d WHEN {c}_s > 1e-8 THEN {c}_s ELSE 1 END, 4) + 0 AS {c}" for c in FEATURES) + f" FROM (SELECT *, {_MAD} FROM (SELECT *, {_MED} FROM (SELECT *, {_OWN} FROM cells WINDOW fr AS (PARTITION BY model, disk_id ORDER BY ds ROWS {W - 1} PRECEDING)) WHERE kept))", _CELLS)
 def _(spark, d):
     df = _cells(spark, d).withColumns({f"{c}_w": ts.steps(c, W) for c in FEATURES}).filter("kept")
-    return df.select(*KEY, "ds", *[(F.round(F.element_at(ts.self_scaled(F.col(f"{c}_w")), -1), 4) + 0).alias(c) for c in FEATURES])
+    return df.select(*KEY, "ds", *[(F.round(ts.self_scaled_last(F.col(f"{c}_w")), 4) + 0).alias(c) for c in FEATURES])
 
 
 @query("ts11_flatten_full", "SELECT model, disk_id, ds AS end_ds, " + ", ".join(f"round(r_1_w[{t + 1}], 4) AS r_1_t{t}" for t in range(W)) + f" FROM (SELECT *, list(r_1) OVER (PARTITION BY model, disk_id ORDER BY ds ROWS {W - 1} PRECEDING) AS r_1_w FROM cells) WHERE kept", _CELLS)
