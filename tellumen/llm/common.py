@@ -56,16 +56,18 @@ def batches(it: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> I
         yield batch.slice(begin, n - begin)
 
 
-def summed(parts: DataFrame) -> DataFrame:
-    """(part, body): vectors of doubles or floats per task, added by part in two levels, so that no group grows
-    with the number of tasks beyond its square root. Bodies are float64 on return."""
+def summed(parts: DataFrame, fan_in: int = 64, levels: int = 3) -> DataFrame:
+    """(part, body): vectors of doubles per task, added by part in a tree: no group holds more than `fan_in` vectors
+    up to fan_in ** levels tasks (262,144), beyond which the last level's groups grow. Bodies are float64 on return."""
 
     def add(t: pa.Table) -> pa.Table:
-        bodies = t.column("body").to_pylist()
-        total = np.frombuffer(bodies[0], np.float64).copy()
+        bodies = t.column("body")
+        total = np.frombuffer(bodies[0].as_py(), np.float64).copy()
         for x in bodies[1:]:
-            total += np.frombuffer(x, np.float64)
-        return pa.table({"part": t.column("part").slice(0, 1), "body": pa.array([total.tobytes()], pa.binary())})
+            total += np.frombuffer(x.as_py(), np.float64)
+        return t.slice(0, 1).set_column(t.schema.get_field_index("body"), "body", pa.array([total.tobytes()], pa.binary()))
 
-    some = parts.withColumn("g", F.floor(F.spark_partition_id() / 64)).groupBy("part", "g").applyInArrow(lambda t: add(t), "part int, body binary")
-    return some.groupBy("part").applyInArrow(lambda t: add(t), "part int, body binary")
+    out = parts.select("part", F.spark_partition_id().alias("g"), "body")
+    for _ in range(levels):
+        out = out.withColumn("g", F.floor(F.col("g") / fan_in).cast("int")).groupBy("part", "g").applyInArrow(lambda t: add(t), "part int, g int, body binary")
+    return out.groupBy("part").applyInArrow(lambda t: add(t), "part int, g int, body binary").select("part", "body")

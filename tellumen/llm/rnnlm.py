@@ -1,8 +1,8 @@
 """A gated recurrent language model in numpy: truncated backpropagation, class-factored softmax, carried state.
 
 Counts over all training documents (crc32(doc_id) mod 10 <> 0) give every word's count c, their sum N and the
-number of distinct words V; one `end` is counted per text. The `top` most frequent words (a fixed number) are
-known by number; the first `frequent` of them are grouped into classes of 32 with a learned softmax inside each.
+number of distinct words V; one `end` is counted per text. The `top` most frequent words (a fixed number, see
+most_frequent) are known by number; the first `frequent` of them are grouped into classes of 32 with a learned softmax inside each.
 All other words, seen or not, fall into classes by spelling: a naive-Bayes guess of the language from the first
 two and last two letters, learned from the same corpus, and the closing punctuation. Inside a spelling class a
 word has (c + 0.1) / (sum over the class + 0.1), so the model is a distribution over words plus one unknown word
@@ -115,6 +115,29 @@ def count_words(docs: DataFrame, langs: list[str]) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(run, "h long, c long, sp long, body binary")
 
 
+def most_frequent(counts: DataFrame, top: int) -> DataFrame:
+    """The `top` rows of highest count; counts within a sixteenth of an octave tie, smaller high bits of the hash go
+    first. Two histograms of fixed size (by count, then by hash inside the count where the limit falls) give the
+    cut, so that no task or driver sorts more than the result: a sort with a limit would send `top` rows per task."""
+    step = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
+    bits = F.shiftrightunsigned("h", 48).cast("int")
+    size = sorted(((r.k, r.n) for r in counts.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    above, cut = 0, None
+    for k, n in size:
+        if above + n > top:
+            cut = k
+            break
+        above += n
+    if cut is None:
+        return counts
+    least, room = -1, top - above
+    for r in sorted(counts.filter(step == cut).groupBy(bits.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        if r.n > room:
+            break
+        least, room = r.k, room - r.n
+    return counts.filter((step > cut) | ((step == cut) & (bits <= least)))
+
+
 def build_vocabulary(docs: DataFrame, top: int, frequent: int, most_langs: int) -> tuple[Vocabulary, DataFrame]:
     """The vocabulary and the count table (h, c, sp) of all training words."""
     langs = [r.lang for r in docs.filter("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()]
@@ -127,7 +150,7 @@ def build_vocabulary(docs: DataFrame, top: int, frequent: int, most_langs: int)
     total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     odds = np.log((stats + 0.5) / (stats.sum(axis=2, keepdims=True) + 0.5 * LETTERS))
     prior = np.log((stats[:, 0].sum(axis=1) + 1) / (stats[:, 0].sum() + len(stats)))
-    known = counts.orderBy(F.desc("c"), "h").limit(top).toPandas()
+    known = most_frequent(counts, top).toPandas()
     order = np.argsort(known["h"].to_numpy(np.int64).view(U))
     h, c, sp = (known[k].to_numpy(np.int64)[order] for k in ("h", "c", "sp"))
     voc = Vocabulary(tx.HashIndex(h.view(U)), c.astype(float), np.full(len(h), -1), odds, prior, float((total[0] or 0) + ends), float(total[1] + (ends > 0)), float(ends), np.zeros(0), frequent)
@@ -180,49 +203,84 @@ class Gru:
         return out
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
-        """One step for all rows: x = input rows of the table."""
+        """One step for all rows: x = input rows of the table. Returns the new state, [r z], n and the candidate's
+        recurrent part."""
         g = h @ self.p[1]
-        rz = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])))
-        r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
+        rz = x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
+        np.negative(rz, rz)
+        np.exp(rz, rz)
+        rz += 1
+        np.reciprocal(rz, rz)
         gn = g[:, 2 * HIDDEN :]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * gn)
-        return n + z * (h - n), r, z, n, gn
-
-    def log_prob(self, h: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: list | None = None) -> np.ndarray | tuple:
+        n = rz[:, :HIDDEN] * gn
+        n += x[:, 2 * HIDDEN :]
+        np.tanh(n, n)
+        new = h - n
+        new *= rz[:, HIDDEN:]
+        new += n
+        return new, rz, n, gn
+
+    def log_prob(self, h: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: list | None = None, chunk: int = 4096) -> np.ndarray | tuple:
         """Natural log probability of class and, for frequent words, of the word in it. With grads: also the
-        gradient of the negative sum by h, parameter gradients added in place."""
-        at = np.arange(len(h))
-        z = h @ self.p[2] + self.p[3]
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        s = e.sum(axis=1)
-        out = z[at, cls] - np.log(s)
-        if grads is not None:
-            dz = e / s[:, None]
-            dz[at, cls] -= 1
-            dh = dz @ self.p[2].T
-            grads[2] += h.T @ dz
-            grads[3] += dz.sum(axis=0)
-        inside = np.flatnonzero(cls < self.classes)
-        inside = inside[np.argsort(cls[inside], kind="stable")]
-        cut = np.searchsorted(cls[inside], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(cut)):
-            rows, block = inside[cut[c] : cut[c + 1]], slice(c * SIZE, (c + 1) * SIZE)
-            hc = h[rows]
-            z = hc @ self.p[4][block].T + self.p[5][block]
-            z -= z.max(axis=1, keepdims=True)
-            e = np.exp(z)
-            s = e.sum(axis=1)
-            k, i = word[rows] - c * SIZE, np.arange(len(rows))
-            out[rows] += z[i, k] - np.log(s)
+        gradient of the negative sum by h, parameter gradients added in place. Rows go by chunks that fit the cache."""
+        out, dh = np.empty(len(h), h.dtype), np.empty_like(h) if grads is not None else None
+        # While no logit can leave exp's range, a softmax needs no row maximum, which costs more than the exp.
+        top = float(np.abs(h).max()) if len(h) else 0.0
+        self.safe = all(top * float(np.abs(w).sum(axis=k).max()) + float(np.abs(b).max()) < 80 for w, b, k in ((self.p[2], self.p[3], 0), (self.p[4], self.p[5], 1)))
+        for i in range(0, len(h), chunk):
+            rows = slice(i, i + chunk)
+            got = self._chunk(h[rows], cls[rows], word[rows], grads)
+            out[rows] = got[0]
             if grads is not None:
-                dz = e / s[:, None]
-                dz[i, k] -= 1
-                dh[rows] += dz @ self.p[4][block]
-                grads[4][block] += dz.T @ hc
-                grads[5][block] += dz.sum(axis=0)
+                dh[rows] = got[1]
         return out if grads is None else (out, dh)
 
+    def _softmax(self, z: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """z becomes exp(z), less its row's maximum where that is needed; the picked entries' log probabilities and
+        the row sums."""
+        if not self.safe:
+            z -= z.max(axis=1, keepdims=True)
+        chosen = z[np.arange(len(z)), pick]
+        np.exp(z, z)
+        total = z @ np.ones(z.shape[1], z.dtype)
+        return chosen - np.log(total), total
+
+    def _chunk(self, h, cls, word, grads):
+        z = h @ self.p[2]
+        z += self.p[3]
+        out, total = self._softmax(z, cls)
+        dh = None
+        if grads is not None:
+            z /= total[:, None]
+            z[np.arange(len(h)), cls] -= 1
+            dh = z @ self.p[2].T
+            grads[2] += h.T @ z
+            grads[3] += np.ones(len(h), h.dtype) @ z
+        inside = np.flatnonzero(cls < self.classes)
+        if not len(inside):
+            return out, dh
+        # Rows in the order of their class, so that each class is one product and everything else one pass.
+        inside = inside[np.argsort(cls[inside].astype(np.int16), kind="stable")]
+        c, hs = cls[inside], h[inside]
+        cut = np.searchsorted(c, np.arange(self.classes + 1))
+        blocks = [(k, slice(cut[k], cut[k + 1]), slice(k * SIZE, (k + 1) * SIZE)) for k in np.flatnonzero(np.diff(cut))]
+        z = self.p[5].reshape(-1, SIZE)[c]
+        for _, at, words in blocks:
+            z[at] += hs[at] @ self.p[4][words].T
+        pick = word[inside] - c * SIZE
+        lp, total = self._softmax(z, pick)
+        out[inside] += lp
+        if grads is not None:
+            z /= total[:, None]
+            z[np.arange(len(z)), pick] -= 1
+            back = np.empty_like(hs)
+            for _, at, words in blocks:
+                back[at] = z[at] @ self.p[4][words]
+                grads[4][words] += z[at].T @ hs[at]
+                grads[5][words] += np.ones(at.stop - at.start, z.dtype) @ z[at]
+            dh[inside] += back
+        return out, dh
+
 
 def encode(w: tx.Words, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per word: position among the known words or -1, number among the frequent or -1, class, input number."""
@@ -236,70 +294,149 @@ def encode(w: tx.Words, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.nda
     return at, word, cls, np.where(tail, voc.frequent + cls - voc.classes, word)
 
 
-def train_segments(net: Gru, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, size: np.ndarray, lr: float, batch: int, seed: int) -> None:
-    """Adam over batches of segments (rows, padded; size: their lengths), window by window with carried state."""
-    m, v, t = np.zeros_like(net.flat), np.zeros_like(net.flat), 0
+def batch_cuts(n: int, first: int, most: int, growth: int = 4) -> list[int]:
+    """Where the batches of n segments begin, and n: they grow from `first` to `most`, as late steps need less noise."""
+    out, size = [0], first
+    while out[-1] < n:
+        out.append(min(n, out[-1] + size))
+        size = min(most, size + growth)
+    return out
+
+
+def train_segments(net: Gru, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, size: np.ndarray, lr: float, batch: tuple[int, int], seed: int) -> None:
+    """Adam over batches of segments (rows, padded; size: their lengths), window by window with carried state.
+    batch: the first and the largest batch's segments."""
     order = np.random.default_rng(seed).permutation(len(size))
-    steps = sum(-(-int(size[order[i : i + batch]].max()) // WINDOW) for i in range(0, len(order), batch))
-    for i in range(0, len(order), batch):
-        rows = order[i : i + batch]
+    cut = batch_cuts(len(size), *batch)
+    steps = sum(-(-int(size[order[i:j]].max()) // WINDOW) for i, j in zip(cut, cut[1:]))
+    adam = Adam(net.flat, lr, steps)
+    for i, j in zip(cut, cut[1:]):
+        rows = order[i:j]
+        length = size[rows]
+        x_all, cls_all, word_all = (x[rows].T for x in (inputs, cls, word))
         h = np.zeros((len(rows), HIDDEN), np.float32)
-        for t0 in range(0, int(size[rows].max()), WINDOW):
-            span = range(t0, min(t0 + WINDOW, int(size[rows].max())))
-            x_at = inputs[rows][:, t0 : span.stop]
-            saved, hs = [], [h]
-            for k in range(len(span)):
-                new, *rest = net.step(net.p[0][x_at[:, k]], hs[-1])
-                saved.append(rest)
-                hs.append(new)
-            h = hs[-1]
-            live = (np.arange(t0, span.stop)[None, :] < size[rows][:, None]).T
-            grad = np.zeros_like(net.flat)
-            g = net.views(grad)
-            hid = np.stack(hs[1:])
-            dh_out = np.zeros_like(hid)
-            _, d = net.log_prob(hid[live], cls[rows][:, t0 : span.stop].T[live], word[rows][:, t0 : span.stop].T[live], g)
-            dh_out[live] = d
-            back = np.zeros_like(h)
-            dx = np.zeros((len(span), len(rows), 3 * HIDDEN), np.float32)
-            for k in range(len(span) - 1, -1, -1):
-                r, z, n, gn = saved[k]
-                dh = dh_out[k] + back
-                dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (hs[k] - n) * z * (1 - z)
-                dr = dn * gn * r * (1 - r)
-                dx[k] = np.concatenate([dr, dz, dn], axis=1)
-                dg = np.concatenate([dr, dz, dn * r], axis=1)
-                g[1][...] += hs[k].T @ dg
-                back = dh * z + dg @ net.p[1].T
-            flat_at, flat_dx = x_at.T.ravel(), dx.reshape(-1, 3 * HIDDEN)
-            by = np.argsort(flat_at, kind="stable")
-            ids, first = np.unique(flat_at[by], return_index=True)
-            g[0][ids] += np.add.reduceat(flat_dx[by], first, axis=0)
-            grad /= max(1, int(live.sum()))
-            norm = float(np.sqrt((grad * grad).sum()))
-            grad *= min(1.0, 1.0 / max(norm, 1e-9))
-            t += 1
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-            net.flat -= (lr * (1 - 0.9 * t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+        for t0 in range(0, int(length.max()), WINDOW):
+            at = slice(t0, min(t0 + WINDOW, int(length.max())))
+            live = np.arange(at.start, at.stop)[:, None] < length
+            grad, h = window_gradient(net, h, x_all[at], cls_all[at], word_all[at], live)
+            adam.step(grad, int(live.sum()))
+
+
+def window_gradient(net: Gru, h: np.ndarray, x_at: np.ndarray, cls: np.ndarray, word: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the live words' negative log probability by all parameters, truncated at the window's begin, and
+    the state after it. Arrays are time-major."""
+    span, n_rows = x_at.shape
+    kind = h.dtype
+    hs, rz, cand, gn = (np.empty((span + (k == 0), n_rows, w), kind) for k, w in enumerate((HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN)))
+    hs[0] = h
+    for k in range(span):
+        hs[k + 1], rz[k], cand[k], gn[k] = net.step(net.p[0][x_at[k]], hs[k])
+    grad = np.zeros_like(net.flat)
+    g = net.views(grad)
+    dh_out = np.zeros((span, n_rows, HIDDEN), kind)
+    _, dh_out[live] = net.log_prob(hs[1:][live], cls[live], word[live], g)
+    r, z = rz[:, :, :HIDDEN], rz[:, :, HIDDEN:]
+    # What each step's dh is multiplied with, for the whole window at once.
+    by_n = (1 - z) * (1 - cand * cand)
+    by_z = (hs[:-1] - cand) * z * (1 - z)
+    by_r = gn * r * (1 - r)
+    dx = np.empty((span, n_rows, 3 * HIDDEN), kind)
+    dg = np.empty_like(dx)
+    back = np.zeros_like(h)
+    recur = np.ascontiguousarray(net.p[1].T)
+    for k in range(span - 1, -1, -1):
+        dh = dh_out[k]
+        dh += back
+        dr, dz, dn = (dx[k, :, j * HIDDEN : (j + 1) * HIDDEN] for j in range(3))
+        np.multiply(dh, by_n[k], out=dn)
+        np.multiply(dh, by_z[k], out=dz)
+        np.multiply(dn, by_r[k], out=dr)
+        dg[k, :, : 2 * HIDDEN] = dx[k, :, : 2 * HIDDEN]
+        np.multiply(dn, r[k], out=dg[k, :, 2 * HIDDEN :])
+        back = dg[k] @ recur
+        back += dh * z[k]
+    g[1][...] = hs[:-1].reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
+    flat_at, flat_dx = x_at.ravel(), dx.reshape(-1, 3 * HIDDEN)
+    by = np.argsort(flat_at.astype(np.int16) if net.shapes[0][0] < 1 << 15 else flat_at, kind="stable")
+    ids, first = np.unique(flat_at[by], return_index=True)
+    g[0][ids] += np.add.reduceat(flat_dx[by], first, axis=0)
+    return grad, hs[-1]
+
+
+class Adam:
+    """Updates in place; the rate falls to a tenth over `steps`, a step's gradient is the mean over its words with
+    its norm cut at 1."""
+
+    def __init__(self, flat: np.ndarray, lr: float, steps: int):
+        self.flat, self.lr, self.steps, self.t = flat, lr, steps, 0
+        self.m, self.v, self.buffer = (np.zeros_like(flat) for _ in range(3))
+
+    def step(self, grad: np.ndarray, words: int) -> None:
+        norm = float(np.sqrt(grad @ grad)) / max(1, words)
+        grad *= np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / max(1, words))
+        self.t += 1
+        t, buf = self.t, self.buffer
+        self.m *= np.float32(0.9)
+        np.multiply(grad, np.float32(0.1), out=buf)
+        self.m += buf
+        self.v *= np.float32(0.999)
+        np.multiply(grad, grad, out=buf)
+        buf *= np.float32(0.001)
+        self.v += buf
+        np.sqrt(self.v, out=buf)
+        buf *= np.float32(1 / np.sqrt(1 - 0.999**t))
+        buf += np.float32(1e-8)
+        np.divide(self.m, buf, out=buf)
+        buf *= np.float32(self.lr * (1 - 0.9 * t / (self.steps + 1)) / (1 - 0.9**t))
+        self.flat -= buf
+
+
+def sequences(w: tx.Words, voc: Vocabulary) -> tuple[np.ndarray, tuple, np.ndarray, np.ndarray]:
+    """Each text's words and its end as one run: the words' positions in it, (input, class, word) of every place,
+    the runs' sizes and the words' positions among the known ones."""
+    at, word, cls, inp = encode(w, voc)
+    size = np.diff(w.first) + 1
+    place = np.arange(len(w)) + w.doc
+    inputs, target_c, target_w = (np.zeros(int(size.sum()), np.int32) for _ in range(3))
+    target_c[place], target_w[place], inputs[place + 1] = cls, word, inp
+    inputs[np.cumsum(size) - size] = 0
+    return at, (inputs, target_c, target_w), size, cls
+
+
+def drawn(text: pa.Array, key: np.ndarray, voc: Vocabulary, k: int, rounds: int, rate: float, segment: int) -> tuple[list, np.ndarray]:
+    """(input, class, word) of the segments that train in round k, one after the other, and their sizes. key: a hash
+    of each row's doc_id and text."""
+    w = tx.Words(text)
+    _, flat, size, _ = sequences(w, voc)
+    pieces = -(-size // segment)
+    doc = np.repeat(np.arange(len(size)), pieces)
+    j = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    length = np.minimum(segment, size[doc] - j * segment)
+    draw = tx.mix(key[doc] ^ tx.mix((j * segment).astype(U) + U(1)))
+    take = ((draw >> U(32)) < U(round(rate * 2**32))) & ((draw & U(2**32 - 1)) % U(rounds) == U(k))
+    of_place = np.repeat(take, length)
+    return [x[of_place] for x in flat], length[take]
 
 
 def drawn_segments(text: pa.Array, key: np.ndarray, voc: Vocabulary, k: int, rounds: int, rate: float, segment: int):
-    """(input, class, word) of each segment that trains in round k. key: a hash of each row's doc_id and text."""
-    w = tx.Words(text)
-    _, word, cls, inp = encode(w, voc)
-    limit = round(rate * 2**32)
-    for d in range(w.n_docs):
-        i, j = w.first[d], w.first[d + 1]
-        whole = [np.append(x[i:j], 0) for x in (cls, word, inp)]
-        before = np.concatenate([[0], whole[2][:-1]])
-        pieces = np.arange(0, j - i + 1, segment)
-        draw = tx.mix(key[d] ^ tx.mix(pieces.astype(U) + U(1)))
-        for s in pieces[((draw >> U(32)) < U(limit)) & ((draw & U(2**32 - 1)) % U(rounds) == U(k))]:
-            yield before[s : s + segment], whole[0][s : s + segment], whole[1][s : s + segment]
-
-
-def train(docs: DataFrame, voc: Vocabulary, rate: float, rounds: int, segment: int = 256, batch: int = 64, most: int = 4096) -> Gru:
+    """The same, segment by segment."""
+    flat, length = drawn(text, key, voc, k, rounds, rate, segment)
+    stop = np.cumsum(length)
+    for b, e in zip(stop - length, stop, strict=True):
+        yield tuple(x[b:e] for x in flat)
+
+
+def padded(flat: list[np.ndarray], length: np.ndarray) -> list[np.ndarray]:
+    """Runs of places as rows of equal length."""
+    row = np.repeat(np.arange(len(length)), length)
+    col = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+    out = [np.zeros((len(length), int(length.max())), np.int32) for _ in flat]
+    for x, y in zip(out, flat, strict=True):
+        x[row, col] = y
+    return out
+
+
+def train(docs: DataFrame, voc: Vocabulary, rate: float, rounds: int, segment: int = 256, batch: tuple[int, int] = (32, 256), most: int = 4096) -> Gru:
     net = Gru(voc)
     for k in range(rounds):
         flat = net.flat
@@ -307,24 +444,25 @@ def train(docs: DataFrame, voc: Vocabulary, rate: float, rounds: int, segment: i
         def run(it, k=k, flat=flat):
             local, found, words, groups = Gru(voc, flat), [], 0, 0
 
-            def flush():
-                size = np.array([len(f[0]) for f in found])
-                padded = [np.zeros((len(found), int(size.max())), np.int64) for _ in range(3)]
-                for r, f in enumerate(found):
-                    for col, x in zip(padded, f, strict=True):
-                        col[r, : len(x)] = x
-                train_segments(local, *padded, size, 0.02 / (k + 1), batch, seed=k + rounds * groups)
-                found.clear()
-                return int(size.sum())
+            def group(least):
+                """Trains on groups of `most` segments while more than `least` are held; the words trained on."""
+                nonlocal groups
+                done, length = 0, np.concatenate([f[1] for f in found])
+                cols = [np.concatenate([f[0][c] for f in found]) for c in range(3)]
+                while len(length) > least:
+                    n = int(length[:most].sum())
+                    train_segments(local, *padded([c[:n] for c in cols], length[:most]), length[:most], 0.02 / (k + 1), batch if not groups and not k else (batch[1], batch[1]), seed=k + rounds * groups)
+                    cols, length = [c[n:] for c in cols], length[most:]
+                    done, groups = done + n, groups + 1
+                found[:] = [(cols, length)] if len(length) else []
+                return done
 
             for b in batches(it, "text"):
-                key = b.column(1).to_numpy().view(U)
-                for one in drawn_segments(b.column(0), key, voc, k, rounds, rate, segment):
-                    found.append(one)
-                    if len(found) == most:
-                        words, groups = words + flush(), groups + 1
+                found.append(drawn(b.column(0), b.column(1).to_numpy().view(U), voc, k, rounds, rate, segment))
+                if sum(len(f[1]) for f in found) >= most:
+                    words += group(most - 1)
             if found:
-                words += flush()
+                words += group(0)
             body = np.append(local.flat.astype(np.float64) * words, words)
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([body.tobytes()], pa.binary())], ["part", "body"])
 
@@ -335,28 +473,33 @@ def train(docs: DataFrame, voc: Vocabulary, rate: float, rounds: int, segment: i
     return net
 
 
-def score_group(net: Gru, inp: np.ndarray, cls: np.ndarray, word: np.ndarray, first: np.ndarray, size: np.ndarray, window: int = 64) -> np.ndarray:
-    """Sum of natural log probabilities of each text: texts side by side, longest first, state carried on."""
-    order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    out, h = np.zeros(len(size)), np.zeros((len(size), HIDDEN), np.float32)
-    for t0 in range(0, int(size[0]) if len(size) else 0, window):
-        n = int((size > t0).sum())
-        h = h[:n]
-        tokens, texts, hidden = [], [], []
-        for t in range(t0, t0 + window):
-            live = int(np.searchsorted(-size[:n], -t, side="left"))
-            if not live:
-                break
-            at = first[:live] + t
-            h[:live] = net.step(net.p[0][inp[at]], h[:live])[0]
-            tokens.append(at), texts.append(np.arange(live)), hidden.append(h[:live].copy())
-        at, text = np.concatenate(tokens), np.concatenate(texts)
-        lp = net.log_prob(np.concatenate(hidden), cls[at], word[at])
-        out[:n] += np.bincount(text, weights=lp, minlength=n)
-    back = np.empty(len(out))
-    back[order] = out
-    return back
+def score_group(net: Gru, inp: np.ndarray, cls: np.ndarray, word: np.ndarray, first: np.ndarray, size: np.ndarray, block: int = 512, most: int = 4096) -> np.ndarray:
+    """Sum of natural log probabilities of each text: blocks of texts side by side, longest first, state carried on;
+    a window is as long as `most` words of the live texts."""
+    order, out = np.argsort(-size, kind="stable"), np.zeros(len(size))
+    for b in range(0, len(order), block):
+        rows = order[b : b + block]
+        begin, length = first[rows], size[rows]
+        alive = len(rows) - np.searchsorted(length[::-1], np.arange(int(length[0])), side="right")
+        h, t = np.zeros((len(rows), HIDDEN), np.float32), 0
+        total = np.zeros(len(rows))
+        while t < len(alive):
+            span = min(max(1, most // int(alive[t])), len(alive) - t)
+            n = alive[t : t + span]
+            hidden, at, text = np.empty((int(n.sum()), HIDDEN), np.float32), [], []
+            done = 0
+            for k, m in enumerate(n):
+                place = begin[:m] + (t + k)
+                h = net.step(net.p[0][inp[place]], h[:m])[0]
+                hidden[done : done + m] = h
+                at.append(place)
+                done += m
+            place = np.concatenate(at)
+            text = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
+            total += np.bincount(text, weights=net.log_prob(hidden, cls[place], word[place]), minlength=len(rows))
+            t += span
+        out[rows] = total
+    return out
 
 
 OUT = "doc_id long, th long, h long, n long, known long, base double, score double"
@@ -382,21 +525,13 @@ def score_texts(docs: DataFrame, voc: Vocabulary, net: Gru, most_words: int = 1_
         held = 0
         for b in batches(it, "text"):
             w = tx.Words(b.column(1))
-            at, word, cls, inp = encode(w, voc)
-            words = np.diff(w.first)
-            size = words + 1
-            stop = np.cumsum(size) - 1
-            place = np.arange(len(w)) + w.doc
-            target_c, target_w, inputs = (np.zeros(int(size.sum()), np.int64) for _ in range(3))
-            target_c[place], target_w[place], inputs[place + 1] = cls, word, inp
-            inputs[np.concatenate([[0], stop[:-1] + 1]).astype(int)] = 0
+            at, (inputs, target_c, target_w), size, cls = sequences(w, voc)
             got = at >= 0
-            rare = got & (word < 0)
+            rare = got & (cls >= voc.classes)
             base = np.bincount(w.doc[got], weights=voc.base(voc.count[at[got]]), minlength=w.n_docs) + voc.base(np.array([voc.ends]))
             fixed = np.bincount(w.doc[rare], weights=in_class[at[rare]] - log_mass[cls[rare] - voc.classes], minlength=w.n_docs)
             known = np.bincount(w.doc[got], minlength=w.n_docs) + int(voc.ends > 0)
-            ids, ths = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
-            ids = np.array([x if x == x else -(2**63) for x in ids], np.int64) if b.column(0).null_count else ids
+            ids, ths = pc.fill_null(b.column(0), -(2**63)).to_numpy(), b.column(2).to_numpy()
             group.append((inputs, target_c, target_w, size, ids, ths, base, known, fixed))
             held += int(size.sum())
             lost = np.flatnonzero(~got)
