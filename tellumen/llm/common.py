@@ -56,9 +56,9 @@ def batches(it: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> I
         yield batch.slice(begin, n - begin)
 
 
-def summed(parts: DataFrame, fan_in: int = 64, levels: int = 3) -> DataFrame:
+def summed(parts: DataFrame, fan_in: int = 16, levels: int = 4) -> DataFrame:
     """(part, body): vectors of doubles per task, added by part in a tree: no group holds more than `fan_in` vectors
-    up to fan_in ** levels tasks (262,144), beyond which the last level's groups grow. Bodies are float64 on return."""
+    up to fan_in ** levels tasks (65,536), beyond which the last level's groups grow. Bodies are float64 on return."""
 
     def add(t: pa.Table) -> pa.Table:
         bodies = t.column("body")

@@ -202,6 +202,12 @@ class Gru:
             at += n
         return out
 
+    def targets(self) -> tuple[np.ndarray, np.ndarray]:
+        """Class and word of each input number."""
+        k = np.arange(self.frequent + self.tail)
+        own = k < self.frequent
+        return np.where(own, k // SIZE, k - self.frequent + self.classes), np.where(own, k, -1)
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
         """One step for all rows: x = input rows of the table. Returns the new state, [r z], n and the candidate's
         recurrent part."""
@@ -303,22 +309,32 @@ def batch_cuts(n: int, first: int, most: int, growth: int = 4) -> list[int]:
     return out
 
 
-def train_segments(net: Gru, inputs: np.ndarray, cls: np.ndarray, word: np.ndarray, size: np.ndarray, lr: float, batch: tuple[int, int], seed: int) -> None:
-    """Adam over batches of segments (rows, padded; size: their lengths), window by window with carried state.
-    batch: the first and the largest batch's segments."""
-    order = np.random.default_rng(seed).permutation(len(size))
+def train_segments(net: Gru, seq: np.ndarray, size: np.ndarray, lr: float, batch: tuple[int, int], seed: int) -> None:
+    """Adam over batches of segments, window by window with carried state. seq: runs of input numbers, one after the
+    other, each with the number before it in front; size: targets a run. Runs of like sizes share a batch, so that
+    little is padded; the batches come in a random order. batch: the first and the largest batch's segments."""
+    rng = np.random.default_rng(seed)
+    begin = np.cumsum(size + 1) - (size + 1)
+    order = np.argsort(size + rng.random(len(size)), kind="stable")
     cut = batch_cuts(len(size), *batch)
-    steps = sum(-(-int(size[order[i:j]].max()) // WINDOW) for i, j in zip(cut, cut[1:]))
-    adam = Adam(net.flat, lr, steps)
-    for i, j in zip(cut, cut[1:]):
-        rows = order[i:j]
+    groups = [order[i:j] for i, j in zip(cut, cut[1:])]
+    if len(groups) > 1:
+        # Small batches first, each with a random stretch of sizes.
+        place = rng.permutation(len(size))[: len(groups)].argsort()
+        width, at, groups = np.diff(cut), 0, [None] * len(groups)
+        for k in place.argsort():
+            groups[k] = order[at : at + width[k]]
+            at += width[k]
+    cls_of, word_of = net.targets()
+    adam = Adam(net.flat, lr, sum(-(-int(size[g].max()) // WINDOW) for g in groups))
+    for rows in groups:
         length = size[rows]
-        x_all, cls_all, word_all = (x[rows].T for x in (inputs, cls, word))
         h = np.zeros((len(rows), HIDDEN), np.float32)
         for t0 in range(0, int(length.max()), WINDOW):
-            at = slice(t0, min(t0 + WINDOW, int(length.max())))
-            live = np.arange(at.start, at.stop)[:, None] < length
-            grad, h = window_gradient(net, h, x_all[at], cls_all[at], word_all[at], live)
+            t = np.arange(t0, min(t0 + WINDOW, int(length.max())) + 1)[:, None]
+            ids = seq[begin[rows] + np.minimum(t, length)]
+            live = t[:-1] < length
+            grad, h = window_gradient(net, h, ids[:-1], cls_of[ids[1:]], word_of[ids[1:]], live)
             adam.step(grad, int(live.sum()))
 
 
@@ -333,8 +349,11 @@ def window_gradient(net: Gru, h: np.ndarray, x_at: np.ndarray, cls: np.ndarray,
         hs[k + 1], rz[k], cand[k], gn[k] = net.step(net.p[0][x_at[k]], hs[k])
     grad = np.zeros_like(net.flat)
     g = net.views(grad)
-    dh_out = np.zeros((span, n_rows, HIDDEN), kind)
-    _, dh_out[live] = net.log_prob(hs[1:][live], cls[live], word[live], g)
+    if live.all():
+        dh_out = net.log_prob(hs[1:].reshape(-1, HIDDEN), cls.ravel(), word.ravel(), g)[1].reshape(span, n_rows, HIDDEN)
+    else:
+        dh_out = np.zeros((span, n_rows, HIDDEN), kind)
+        _, dh_out[live] = net.log_prob(hs[1:][live], cls[live], word[live], g)
     r, z = rz[:, :, :HIDDEN], rz[:, :, HIDDEN:]
     # What each step's dh is multiplied with, for the whole window at once.
     by_n = (1 - z) * (1 - cand * cand)
@@ -403,70 +422,106 @@ def sequences(w: tx.Words, voc: Vocabulary) -> tuple[np.ndarray, tuple, np.ndarr
     return at, (inputs, target_c, target_w), size, cls
 
 
-def drawn(text: pa.Array, key: np.ndarray, voc: Vocabulary, k: int, rounds: int, rate: float, segment: int) -> tuple[list, np.ndarray]:
-    """(input, class, word) of the segments that train in round k, one after the other, and their sizes. key: a hash
-    of each row's doc_id and text."""
+def segments(text: pa.Array, key: np.ndarray, voc: Vocabulary, rounds: int, rate: float, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of all segments (see train_segments), their sizes, and the round in which each trains (or -1). key: a
+    hash of each row's doc_id and text."""
     w = tx.Words(text)
-    _, flat, size, _ = sequences(w, voc)
+    _, _, _, inp = encode(w, voc)
+    size = np.diff(w.first) + 1
+    # Each text is 0, its words' numbers, and the end's number, 0.
+    run = np.zeros(len(w) + 2 * len(size), np.uint16)
+    run[np.arange(len(w)) + 2 * w.doc + 1] = inp
     pieces = -(-size // segment)
     doc = np.repeat(np.arange(len(size)), pieces)
     j = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     length = np.minimum(segment, size[doc] - j * segment)
     draw = tx.mix(key[doc] ^ tx.mix((j * segment).astype(U) + U(1)))
-    take = ((draw >> U(32)) < U(round(rate * 2**32))) & ((draw & U(2**32 - 1)) % U(rounds) == U(k))
-    of_place = np.repeat(take, length)
-    return [x[of_place] for x in flat], length[take]
+    turn = np.where((draw >> U(32)) < U(round(rate * 2**32)), ((draw & U(2**32 - 1)) % U(rounds)).astype(np.int64), -1)
+    begin = (np.cumsum(size + 1) - (size + 1))[doc] + j * segment
+    at = np.arange(int((length + 1).sum())) - np.repeat(np.cumsum(length + 1) - (length + 1) - begin, length + 1)
+    return run[at], length, turn
+
+
+def chosen(seq: np.ndarray, length: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs that are taken."""
+    return seq[np.repeat(take, length + 1)], length[take]
 
 
 def drawn_segments(text: pa.Array, key: np.ndarray, voc: Vocabulary, k: int, rounds: int, rate: float, segment: int):
-    """The same, segment by segment."""
-    flat, length = drawn(text, key, voc, k, rounds, rate, segment)
-    stop = np.cumsum(length)
-    for b, e in zip(stop - length, stop, strict=True):
-        yield tuple(x[b:e] for x in flat)
-
-
-def padded(flat: list[np.ndarray], length: np.ndarray) -> list[np.ndarray]:
-    """Runs of places as rows of equal length."""
-    row = np.repeat(np.arange(len(length)), length)
-    col = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
-    out = [np.zeros((len(length), int(length.max())), np.int32) for _ in flat]
-    for x, y in zip(out, flat, strict=True):
-        x[row, col] = y
-    return out
+    """(input, class, word) of each segment that trains in round k."""
+    seq, length, turn = segments(text, key, voc, rounds, rate, segment)
+    seq, length = chosen(seq, length, turn == k)
+    cls_of, word_of = Gru(voc).targets()
+    stop = np.cumsum(length + 1)
+    for b, e in zip(stop - length - 1, stop, strict=True):
+        yield seq[b : e - 1], cls_of[seq[b + 1 : e]], word_of[seq[b + 1 : e]]
+
+
+class LocalTraining:
+    """One task's training: segments are held until there are `most`, then trained on."""
+
+    def __init__(self, voc: Vocabulary, flat: np.ndarray, k: int, rounds: int, batch: tuple[int, int], most: int):
+        self.net, self.k, self.rounds, self.batch, self.most = Gru(voc, flat), k, rounds, batch, most
+        self.held, self.words, self.groups = [], 0, 0
+
+    def add(self, seq: np.ndarray, length: np.ndarray) -> None:
+        self.held.append((seq, length))
+        if sum(len(x) for _, x in self.held) >= self.most:
+            self._train(self.most)
+
+    def _train(self, least: int) -> None:
+        seq, length = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        while len(length) >= least:
+            now, n = length[: self.most], int(length[: self.most].sum()) + min(self.most, len(length))
+            batch = self.batch if not self.groups and not self.k else (self.batch[1], self.batch[1])
+            train_segments(self.net, seq[:n], now, 0.02 / (self.k + 1), batch, seed=self.k + self.rounds * self.groups)
+            seq, length = seq[n:], length[self.most :]
+            self.words, self.groups = self.words + int(now.sum()), self.groups + 1
+        self.held = [(seq, length)] if len(length) else []
+
+    def result(self) -> pa.RecordBatch:
+        """Parameters times words, and the words."""
+        if self.held:
+            self._train(1)
+        return _body(0, np.append(self.net.flat.astype(np.float64) * self.words, self.words))
+
+
+def _body(part: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([b"".join(x.tobytes() for x in arrays)], pa.binary())], ["part", "body"])
 
 
 def train(docs: DataFrame, voc: Vocabulary, rate: float, rounds: int, segment: int = 256, batch: tuple[int, int] = (32, 256), most: int = 4096) -> Gru:
-    net = Gru(voc)
+    """The first round reads the texts, trains on its own segments and writes those of later rounds as numbers."""
+    net, rows = Gru(voc), docs.select("text", F.xxhash64("doc_id", "text").alias("key"))
     for k in range(rounds):
         flat = net.flat
 
-        def run(it, k=k, flat=flat):
-            local, found, words, groups = Gru(voc, flat), [], 0, 0
-
-            def group(least):
-                """Trains on groups of `most` segments while more than `least` are held; the words trained on."""
-                nonlocal groups
-                done, length = 0, np.concatenate([f[1] for f in found])
-                cols = [np.concatenate([f[0][c] for f in found]) for c in range(3)]
-                while len(length) > least:
-                    n = int(length[:most].sum())
-                    train_segments(local, *padded([c[:n] for c in cols], length[:most]), length[:most], 0.02 / (k + 1), batch if not groups and not k else (batch[1], batch[1]), seed=k + rounds * groups)
-                    cols, length = [c[n:] for c in cols], length[most:]
-                    done, groups = done + n, groups + 1
-                found[:] = [(cols, length)] if len(length) else []
-                return done
-
+        def from_texts(it, flat=flat):
+            local = LocalTraining(voc, flat, 0, rounds, batch, most)
             for b in batches(it, "text"):
-                found.append(drawn(b.column(0), b.column(1).to_numpy().view(U), voc, k, rounds, rate, segment))
-                if sum(len(f[1]) for f in found) >= most:
-                    words += group(most - 1)
-            if found:
-                words += group(0)
-            body = np.append(local.flat.astype(np.float64) * words, words)
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([body.tobytes()], pa.binary())], ["part", "body"])
-
-        got = summed(docs.select("text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(run, "part int, body binary")).collect()
+                seq, length, turn = segments(b.column(0), b.column(1).to_numpy().view(U), voc, rounds, rate, segment)
+                local.add(*chosen(seq, length, turn == 0))
+                for later in range(1, rounds):
+                    mine, size = chosen(seq, length, turn == later)
+                    if len(size):
+                        yield _body(later, np.array([len(size)], np.int32), size.astype(np.int32), mine)
+            yield local.result()
+
+        def from_numbers(it, k=k, flat=flat):
+            local = LocalTraining(voc, flat, k, rounds, batch, most)
+            for b in it:
+                for body in b.column(0):
+                    x = body.as_buffer()
+                    n = int(np.frombuffer(x, np.int32, 1)[0])
+                    local.add(np.frombuffer(x, np.uint16, offset=4 * n + 4), np.frombuffer(x, np.int32, n, 4).astype(np.int64))
+            yield local.result()
+
+        if k == 0:
+            first = written(rows.mapInArrow(from_texts, "part int, body binary"), "lm-round")
+            sums = first.filter("part = 0")
+        else:
+            sums = first.filter(F.col("part") == k).select("body").mapInArrow(from_numbers, "part int, body binary")
+        got = summed(sums).collect()
         total = np.frombuffer(got[0].body) if got else np.zeros(len(flat) + 1)
         if total[-1] > 0:
             net = Gru(voc, total[:-1] / total[-1])
