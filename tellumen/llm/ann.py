@@ -1,18 +1,22 @@
 """Approximate nearest neighbours over learned partitions.
 
-On a bounded sample (`fit_rows` vectors, smallest hashes of vec_id) a neighbour graph is built by brute force and
-cut into balanced parts: capacity-bounded assignment to cluster centres, then capacity-bounded label propagation
-along the graph. A small network learns the parts of a vector's neighbours. Every row is indexed in its most
-probable part; a query goes to as many parts as hold `goal` of the true neighbours of calibration queries drawn
-from the sample, and is ranked there by exact cosine in double precision.
-
-Rows of a part are dealt into blocks by hash, queries into blocks too, so that no task holds more than a block of
-each, however large a part is. Each block returns its best k, which are merged.
+On a bounded sample (about `fit_rows` vectors, those of smallest hashes of vec_id) a neighbour graph is built by
+brute force and cut into balanced parts: capacity-bounded assignment to cluster centres, then capacity-bounded label
+propagation along the graph. A small network learns the parts of a vector's neighbours. Every row is indexed in its
+most probable part; a query goes to as many parts as hold `goal` of the true neighbours of a quarter of the sample
+that neither graph, parts nor network have seen, and is ranked there by exact cosine in double precision. There are
+two parts at least; a part holds about four times the square root of all rows, until the sample bounds their number
+(16 rows of it a part), from where on parts grow with the rows.
+
+Rows of a part are dealt into blocks by hash. A task reads a block's index rows, which it holds, and then the
+queries that visit the part, which stream past, so that neither a large part nor many queries fill a task, and no
+index row is copied. Each block returns its best k for a query, which are merged.
 
 Defined results: vectors that are null, empty, zero, of another length than most of the sample, or hold null or
 non-finite components take no part, neither as query nor as candidate; ties go to the smaller vec_id; equal
-vectors are candidates like others; a query's own vec_id is never returned; with fewer than k candidates all are
-returned; an empty table gives no rows; extra columns are ignored.
+vectors are candidates like others; a query's own vec_id is never returned; rows that repeat a vec_id are one
+candidate and one query, with the largest score among their rows; with fewer than k candidates all are returned
+that the visited parts hold; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,20 +101,21 @@ class Router:
 
 
 def fit_index(x: np.ndarray, parts: int, goal: float, k: int = 5) -> tuple[Router, int]:
-    """The router and how many parts a query visits."""
+    """The router and how many parts a query visits, measured on the last quarter of x, which is not fitted on."""
     x = _unit(x)
-    graph = neighbour_graph(x, 10)
-    part = balanced_partition(x, graph, parts)
-    target = np.zeros((len(x), parts))
-    np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 1.0 / max(1, graph.shape[1]))
+    fit = x[: max(2, len(x) - len(x) // 4)]
+    graph = neighbour_graph(fit, 10)
+    part = balanced_partition(fit, graph, parts)
+    target = np.zeros((len(fit), parts))
+    np.add.at(target, (np.repeat(np.arange(len(fit)), graph.shape[1]), part[graph].ravel()), 1.0 / max(1, graph.shape[1]))
     target = 0.5 * target + 0.5 * np.eye(parts)[part]
-    router = Router(x, target)
+    router = Router(fit, target)
     scores = router.scores(x)
     home = scores.argmax(axis=1)
     place = np.argsort(np.argsort(-scores, axis=1, kind="stable"), axis=1)
     near = neighbour_graph(x, k)
-    at = np.take_along_axis(place, home[near], axis=1)
-    visits = next(m for m in range(1, parts + 1) if (at < m).mean() >= goal or m == parts)
+    at = np.take_along_axis(place, home[near], axis=1)[len(fit) :]
+    visits = next(m for m in range(1, parts + 1) if m == parts or (len(at) and (at < m).mean() >= goal))
     return router, visits
 
 
@@ -119,65 +124,102 @@ def _valid(col: Column) -> Column:
     return col.isNotNull() & (F.size(col) > 0) & ~F.exists(col, bad) & F.exists(col, lambda v: v != 0)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, fit_rows: int = 4096, part_rows: int = 4096, goal: float = 0.97, block: int = 4096, most_parts: int = 256) -> DataFrame:
+class Block:
+    """Index rows of one block, by vec_id; rows of one vec_id count as one candidate."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.rows, self.norm = rows[order], np.sqrt((rows[order] * rows[order]).sum(axis=1))
+        self.ids, self.first = np.unique(ids[order], return_index=True)
+        self.end = np.append(self.first[1:], len(ids))
+
+    def best(self, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
+        """query, candidate, score of the best k candidates of each query; exact scores, ties to smaller ids."""
+        out, norm = ([], [], []), np.sqrt((q * q).sum(axis=1))
+        for i in range(0, len(q), 256):
+            s = (q[i : i + 256] @ self.rows.T) / np.outer(norm[i : i + 256], self.norm)
+            if len(self.ids) < len(self.rows):
+                s = np.maximum.reduceat(s, self.first, axis=1)
+            s[ids[i : i + 256, None] == self.ids[None, :]] = -np.inf
+            for a in range(len(s)):
+                floor = np.partition(s[a], -k)[-k] if len(self.ids) > k else -np.inf
+                at = np.flatnonzero((s[a] >= floor - 1e-9) & (s[a] > -np.inf))
+                exact = np.array([self._exact(c, q[i + a], norm[i + a]) for c in at])
+                pick = np.lexsort((self.ids[at], -exact))[:k] if len(at) else []
+                out[0].extend([ids[i + a]] * len(pick)), out[1].extend(self.ids[at[pick]]), out[2].extend(exact[pick])
+        return out
+
+    def _exact(self, c: int, q: np.ndarray, norm: float) -> float:
+        rows = slice(self.first[c], self.end[c])
+        return float(((self.rows[rows] * q).sum(axis=1) / (self.norm[rows] * norm)).max())
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, fit_rows: int = 8192, part_rows: int | None = None, goal: float = 0.97, block: int = 32768) -> DataFrame:
     """query_id, rank, vec_id, score. vectors: vec_id, embedding."""
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score double"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & _valid(F.col("v")))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).collect()
     done = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(done)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # The share of hashes that holds the sample: a sort with a limit would send `fit_rows` vectors from every task.
+    cut = min(1 << 20, -(-(1 << 20) * fit_rows // max(1, rows.count())) + 1)
+    sample = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < cut).withColumn("o", F.xxhash64(F.lit(3), "vec_id")).collect()
+    sample = sorted(sample, key=lambda r: (r.o, r.vec_id))
     if len(sample) < 2:
         return ranked(spark.createDataFrame([], schema))
     sizes, times = np.unique([len(r.v) for r in sample], return_counts=True)
     dim = int(sizes[times.argmax()])
     x = np.array([r.v for r in sample if len(r.v) == dim])
+    if len(x) < 2:
+        return ranked(spark.createDataFrame([], schema))
     rows = rows.filter(F.size("v") == dim)
     n = rows.count()
-    parts = int(min(most_parts, max(1, n // part_rows), max(1, len(x) // 32)))
-    router, visits = fit_index(x, parts, goal, k) if parts > 1 else (None, 1)
+    parts = int(max(2, min(n // (part_rows or max(1, int(4 * n**0.5))), len(x) // 16)))
+    router, visits = fit_index(x, parts, goal, k)
+
+    def matrix(column: pa.Array, n: int) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(n, dim)
 
     def route(it, most):
         for b in it:
             if b.num_rows:
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
-                if router is None:
-                    best = np.zeros((b.num_rows, 1), np.int64)
-                else:
-                    best = np.argsort(-router.scores(_unit(v)), axis=1, kind="stable")[:, :most]
+                best = np.argsort(-router.scores(_unit(matrix(b.column(1), b.num_rows))), axis=1, kind="stable")[:, :most]
                 at = pa.array(np.repeat(np.arange(b.num_rows), best.shape[1]))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(best.ravel(), pa.int32())], ["vec_id", "v", "part"])
 
     routed = "vec_id long, v array<double>, part int"
     index = written(rows.mapInArrow(lambda it: route(it, 1), routed), "ann-index")
-    # One row a part: at most `most_parts` rows.
+    # One row a part: a fixed number.
     blocks = {int(r.part): int(-(-r.n // block)) for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    count = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]) if blocks else F.create_map(F.lit(0), F.lit(1))
-    asked = written(rows.filter(is_query), "ann-queries")
-    q_blocks = max(1, -(-asked.count() // block))
-    index = index.withColumn("salt", F.pmod(F.xxhash64("vec_id"), count[F.col("part")]).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    asked = asked.mapInArrow(lambda it: route(it, visits), routed).withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int"))
-    asked = asked.filter(count[F.col("part")].isNotNull()).withColumn("salt", F.explode(F.sequence(F.lit(0), count[F.col("part")].cast("int") - 1)))
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if left.num_rows and right.num_rows:
-            read = lambda t: (t.column("vec_id").to_numpy(), t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, dim))
-            (ids, r), (qs, q) = read(left), read(right)
-            nr, nq = np.sqrt((r * r).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-            for i in range(0, len(q), 256):
-                s = (q[i : i + 256] @ r.T) / np.outer(nq[i : i + 256], nr)
-                s[qs[i : i + 256, None] == ids[None, :]] = -np.inf
-                for a in range(len(s)):
-                    floor = np.partition(s[a], -k)[-k] if len(ids) > k else -np.inf
-                    at = np.flatnonzero((s[a] >= floor - 1e-9) & (s[a] > -np.inf))
-                    exact = (r[at] * q[i + a]).sum(axis=1) / (nr[at] * nq[i + a])
-                    pick = np.lexsort((ids[at], -exact))[:k]
-                    out[0].extend([qs[i + a]] * len(pick)), out[1].extend(ids[at[pick]]), out[2].extend(exact[pick])
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    keys = ["part", "salt", "qb"]
-    return ranked(index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(lambda a, b: best(a, b), schema))
+    count = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])
+    salt = F.pmod(F.xxhash64("vec_id"), count[F.col("part")]).cast("int").alias("salt")
+    every = F.explode(F.sequence(F.lit(0), count[F.col("part")].cast("int") - 1)).alias("salt")
+    asked = rows.filter(is_query).mapInArrow(lambda it: route(it, visits), routed).filter(count[F.col("part")].isNotNull())
+    both = index.select("part", salt, F.lit(0).alias("kind"), "vec_id", "v").unionByName(asked.select("part", every, F.lit(1).alias("kind"), "vec_id", "v"))
+
+    def search(it):
+        now, held = None, None
+        for b in it:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(c).to_numpy() for c in range(3)])
+            cut = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), b.num_rows]
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                part, salt, kind = keys[:, i]
+                ids, v = b.column(3).to_numpy()[i:j], matrix(b.column(4).slice(i, j - i), j - i)
+                if now != (part, salt):
+                    now, held = (part, salt), []
+                if kind == 0:
+                    held.append((ids, v))
+                    continue
+                if isinstance(held, list):
+                    held = Block(*(np.concatenate(c) for c in zip(*held, strict=True))) if held else None
+                if held is not None:
+                    out = held.best(ids, v, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+    found = both.repartition("part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(search, schema)
+    return ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
 
 
 def op10_ann(spark, sf_dir: str) -> DataFrame:
