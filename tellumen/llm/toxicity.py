@@ -2,14 +2,18 @@
 
 A linear classifier on the presence of words, trained in numpy with Adam on the class-prior-corrected risk
     prior * E_P[loss(z)] + max(0, E_U[loss(-z)] - prior * E_P[loss(-z)]),
-where a step with a negative second part climbs back on it. P: documents labelled toxic, U: documents of any
-kind; both bounded samples of training rows (`most_p`, `most_u`, smallest hashes of doc_id). The class prior is
-the toxic share of the training labels. Features are words without punctuation and their first letters, such as
-occur in P significantly more or less often than in U, chosen on the same samples. Every whole text is scored.
+where a step with a negative second part climbs back on it. P: documents labelled toxic, a sample of about `most_p`
+of them (smallest hashes of doc_id). U: every document that is not held out, each distinct set of words once. The
+class prior is the toxic share of the training labels. Features are words without punctuation and their first
+letters that P holds and that occur in P significantly more or less often than in U, counted over all of U.
+
+U's word sets, as numbers of P's words, are written once and dealt by hash into groups of about `group` documents.
+In each of two rounds every group trains from the common parameters on its own documents and all of P; the results
+are averaged, weighted by documents, so the training grows with the corpus. Every whole text is scored.
 
 Defined results: null and empty texts have no features and get the bias's score; without labels or toxic rows
 every score is 0; rows that repeat a doc_id give a row each; an empty table gives no rows; extra columns are
-ignored. Null doc_ids are never trained on and not held out.
+ignored. Null doc_ids are never trained on and not held out. Long texts are read whole, one at a time at most.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellumen.llm import textops as tx
-from tellumen.llm.common import batches, table
+from tellumen.llm.common import batches, summed, table, written
 
 U = np.uint64
 
@@ -61,57 +65,126 @@ def _collected(texts: DataFrame) -> list[np.ndarray]:
 class Sparse:
     """Rows of feature numbers."""
 
-    def __init__(self, sets: list[np.ndarray], index: tx.HashIndex):
-        rows = []
-        for x in sets:
-            at = index.find(x)
-            rows.append(at[at >= 0])
-        self.size = np.array([len(r) for r in rows], int)
-        self.begin = np.concatenate([[0], np.cumsum(self.size)])
-        self.flat = np.concatenate([*rows, np.zeros(0, int)]).astype(int)
-
-    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Feature numbers of the rows and which row each belongs to."""
-        size = self.size[rows]
-        row = np.repeat(np.arange(len(rows)), size)
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[rows], size)
-        return self.flat[at], row
-
-
-def choose_features(p: list, u: list, least: int = 3, z: float = 3.5, most: int = 4096) -> np.ndarray:
-    hp, cp = np.unique(np.concatenate([*p, np.zeros(0, U)]), return_counts=True)
-    hu, cu = np.unique(np.concatenate([*u, np.zeros(0, U)]), return_counts=True)
-    keys = np.union1d(hp[cp >= least], hu[cu >= max(least, len(u) // 50)])
-    count = lambda h, c: np.where(np.isin(keys, h), c[np.minimum(np.searchsorted(h, keys), max(len(h) - 1, 0))], 0) if len(h) else np.zeros(len(keys))
-    fp, fu = (count(hp, cp) + 0.5) / (len(p) + 1), (count(hu, cu) + 0.5) / (len(u) + 1)
-    score = np.abs(fp - fu) / np.sqrt(fp * (1 - fp) / max(1, len(p)) + fu * (1 - fu) / max(1, len(u)))
-    order = np.lexsort((keys, -score))
-    return np.sort(keys[order[: most][score[order[:most]] >= z]])
-
-
-def train(p: list, u: list, prior: float, steps: int = 500, lr: float = 0.1, l2: float = 1e-6) -> tuple[np.ndarray, np.ndarray, float]:
-    """Feature hashes, weights and bias that minimise the non-negative risk, on the whole sample at each step."""
-    keys = choose_features(p, u)
-    index = tx.HashIndex(keys)
-    xp, xu = Sparse(p, index), Sparse(u, index)
-    (fp, ip), (fu, iu) = xp.take(np.arange(len(p))), xu.take(np.arange(len(u)))
-    w = np.zeros(len(keys) + 1)
-    w[-1] = np.log(prior / (1 - prior))
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    def __init__(self, rows: list[np.ndarray]):
+        self.n = len(rows)
+        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.flat], minlength=self.n) + w[-1]
+
+    def gradient(self, g: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size)  # bincount gives integers for no features at all
+        out += np.bincount(self.flat, weights=g[self.row], minlength=size)
+        out[-1] += g.sum()
+        return out
+
+
+def choose_features(keys: np.ndarray, cp: np.ndarray, cu: np.ndarray, n_p: int, n_u: int, least: int = 3, z: float = 3.5, most: int = 4096) -> np.ndarray:
+    """Numbers of the keys whose shares in P and U differ most, by z score. cp, cu: documents that hold each key."""
+    able = (cp >= least) | (cu >= max(least, n_u // 50))
+    fp, fu = (cp + 0.5) / (n_p + 1), (cu + 0.5) / (n_u + 1)
+    score = np.abs(fp - fu) / np.sqrt(fp * (1 - fp) / max(1, n_p) + fu * (1 - fu) / max(1, n_u))
+    score = np.where(able, score, 0)
+    order = np.lexsort((keys, -score))[:most]
+    return np.sort(order[score[order] >= z])
+
+
+def risk(xp: Sparse, xu: Sparse, w: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The risk's two parts (the second before it is cut at 0) and the step's gradient."""
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    zp, zu = xp.scores(w), xu.scores(w)
+    positive = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    gp_pos, gp_neg, gu = -prior * sigmoid(-zp) / xp.n, -prior * sigmoid(zp) / xp.n, sigmoid(zu) / xu.n
+    gp, gu = (gp_pos + gp_neg, gu) if negative >= 0 else (-gp_neg, -gu)
+    return positive, negative, xp.gradient(gp, len(w)) + xu.gradient(gu, len(w))
+
+
+def train(xp: Sparse, xu: Sparse, w: np.ndarray, prior: float, steps: int, lr: float, l2: float = 1e-6) -> np.ndarray:
+    """Weights, the bias last, after `steps` steps of Adam from w on the non-negative risk of all rows given."""
+    w = w.copy()
+    m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        zp = np.bincount(ip, weights=w[fp], minlength=len(p)) + w[-1]
-        zu = np.bincount(iu, weights=w[fu], minlength=len(u)) + w[-1]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp_pos, gp_neg, gu = -prior * sigmoid(-zp) / len(zp), -prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
-        gp, gu = (gp_pos + gp_neg, gu) if negative >= 0 else (-gp_neg, -gu)
-        g = np.zeros(len(w))  # bincount gives integers for no features at all
-        g += np.bincount(fp, weights=gp[ip], minlength=len(w)) + np.bincount(fu, weights=gu[iu], minlength=len(w))
-        g[-1] = gp.sum() + gu.sum()
+        g = risk(xp, xu, w, prior)[2]
         g[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= lr * (1 - 0.9 * t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return keys, w[:-1], float(w[-1])
+    return w
+
+
+def _unlabelled(docs: DataFrame, keys: np.ndarray) -> DataFrame:
+    """key (a hash of the whole word set), w (numbers of the keys that the text holds): each word set once."""
+    index = tx.HashIndex(keys)
+
+    def run(it):
+        for b in batches(it, "text"):
+            sets = _word_sets(b.column(0))
+            with np.errstate(over="ignore"):
+                key = np.array([tx.mix(x).sum(dtype=U) for x in sets], U)
+            at = [index.find(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(key)), pa.array([x[x >= 0].astype(np.int32).tobytes() for x in at], pa.binary())], ["key", "w"])
+
+    return docs.select("text").mapInArrow(run, "key long, w binary").dropDuplicates(["key"])
+
+
+def _counted(u: DataFrame, size: int) -> tuple[int, np.ndarray]:
+    """Documents of u and, for each key, those that hold it."""
+
+    def run(it):
+        total = np.zeros(size + 1)
+        for b in it:
+            total[-1] += b.num_rows
+            for x in b.column(0).to_pylist():
+                total[np.frombuffer(x, np.int32)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "body"])
+
+    got = summed(u.select("w").mapInArrow(run, "part int, body binary")).collect()
+    total = np.frombuffer(got[0].body) if got else np.zeros(size + 1)
+    return int(total[-1]), total[:-1]
+
+
+def fit(p: list, docs: DataFrame, prior: float, group: int, rounds: int = 2, steps: int = 200) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Feature hashes, weights and bias; docs: the unlabelled documents. None without any."""
+    keys, cp = np.unique(np.concatenate([*p, np.zeros(0, U)]), return_counts=True)
+    u = written(_unlabelled(docs, keys), "tox-sets")
+    n, cu = _counted(u, len(keys))
+    if not n:
+        return None
+    chosen = choose_features(keys, cp, cu, len(p), n)
+    number = np.full(len(keys) + 1, -1)
+    number[chosen] = np.arange(len(chosen))
+
+    def sparse(sets):
+        at = [number[x] for x in sets]
+        return Sparse([x[x >= 0] for x in at])
+
+    xp = sparse([np.searchsorted(keys, x) for x in p])
+    w = np.zeros(len(chosen) + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    groups = max(1, round(n / group))
+    dealt = u.select(F.pmod("key", F.lit(groups)).alias("g"), "w").repartition(groups, "g").sortWithinPartitions("g")
+    for k in range(rounds):
+
+        def run(it, k=k, w=w):
+            def trained(sets):
+                got = train(xp, sparse([np.frombuffer(x, np.int32) for x in sets]), w, prior, steps, 0.1 / (1 + 4 * k))
+                return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.append(got * len(sets), len(sets)).tobytes()], pa.binary())], ["part", "body"])
+
+            now, held = None, []
+            for b in it:
+                for g, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if g != now and held:
+                        yield trained(held)
+                        held = []
+                    now = g
+                    held.append(x)
+            if held:
+                yield trained(held)
+
+        total = np.frombuffer(summed(dealt.mapInArrow(run, "part int, body binary")).first().body)
+        w = total[:-1] / total[-1]
+    return keys[chosen], w[:-1], float(w[-1])
 
 
 def score_texts(docs: DataFrame, keys: np.ndarray, weights: np.ndarray, bias: float) -> DataFrame:
@@ -130,21 +203,20 @@ def score_texts(docs: DataFrame, keys: np.ndarray, weights: np.ndarray, bias: fl
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_p: int = 3000, most_u: int = 9000, threshold: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most_p: int = 3000, group: int = 8192, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted. Labels of rows with crc32(doc_id) mod 3 = 1 are never read."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    order = F.xxhash64("doc_id")
     known = labels.filter(~held & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     n = known.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
-    if not n.n or not n.t:
-        scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"))
-    else:
-        ids = F.broadcast(known.filter("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(most_p))
-        others = F.broadcast(docs.filter(~held & F.col("doc_id").isNotNull()).select("doc_id").orderBy(order, "doc_id").limit(most_u))
+    model = None
+    if n.n and n.t:
+        # A share of the hashes that holds about most_p of the toxic rows: a bounded table, and nothing is sorted.
+        share = min(1 << 20, -(-(1 << 20) * most_p // n.t))
+        ids = F.broadcast(known.filter("toxic = 1").select("doc_id").distinct().filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share))
         p = _collected(docs.join(ids, "doc_id", "left_semi"))
-        u = _collected(docs.join(others, "doc_id", "left_semi"))
-        prior = min(0.9, max(0.005, n.t / n.n))
-        scored = score_texts(docs, *train(p, u, prior)) if p and u else docs.select("doc_id", F.lit(0.0).alias("score"))
+        if p:
+            model = fit(p, docs.filter(~held & F.col("doc_id").isNotNull()), min(0.9, max(0.005, n.t / n.n)), group)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score")) if model is None else score_texts(docs, *model)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
