@@ -1,12 +1,14 @@
 """Chat formatting: a finite-state machine over roles and a declarative template, in DataFrame functions only.
 
 A template maps each role to a prefix, a suffix and a loss flag. Texts are escaped so that no control string
-of the template can occur inside them, and the escape is reversible, so the formatted string can be read back.
+of the template can occur inside them, and the escape is reversible, so the formatted string can be read back; so
+are roles without an entry, in which the separator after the role is escaped too.
 
 Defined results: null text is empty; null roles are formatted with the fallback entry and make the
 conversation invalid; rows of a conversation are ordered by (turn, role, text), so ties and repeated rows have
-one result; rows with a null conv_id form one conversation; an empty table gives no rows; extra columns are
-ignored. One conversation is one output string, so its size is bounded by its own texts.
+one result; rows with a null conv_id form one conversation, a null role reads back as empty; an empty table gives
+no rows; extra columns are ignored. One conversation is one output string, so its size is bounded by its own texts.
+The query's conversation -7 takes in rows that the table itself has under that number.
 """
 
 from __future__ import annotations
@@ -52,18 +54,25 @@ def unescape(text: Column, t: Template) -> Column:
     return text
 
 
+def _separator(t: Template) -> tuple[str, str]:
+    """What ends a name, and its code inside names, so that a name ends at the first separator."""
+    return t.after_role.strip() or t.after_role, "\\c"
+
+
 def _name(role: Column, t: Template) -> Column:
     out = None
     for k, v in t.names.items():
         out = F.when(role == k, v) if out is None else out.when(role == k, v)
-    return out.otherwise(F.concat(F.lit("?"), escape(F.coalesce(role, F.lit("")), t)))
+    what, code = _separator(t)
+    return out.otherwise(F.concat(F.lit("?"), F.replace(escape(F.coalesce(role, F.lit("")), t), F.lit(what), F.lit(code))))
 
 
 def _role(name: Column, t: Template) -> Column:
     out = None
     for k, v in t.names.items():
         out = F.when(name == v, k) if out is None else out.when(name == v, k)
-    return out.otherwise(unescape(F.substr(name, F.lit(2)), t))
+    what, code = _separator(t)
+    return out.otherwise(unescape(F.replace(F.substr(name, F.lit(2)), F.lit(code), F.lit(what)), t))
 
 
 def _step(state: Column, role: Column, t: Template) -> Column:
