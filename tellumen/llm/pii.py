@@ -4,11 +4,12 @@ Base spans per kind are the leftmost non-overlapping matches of fixed patterns;
 are dropped without a retry. Quantifiers are written possessively and anchored at run starts (`\\G` admits a
 match that starts where the last one ended), which accepts the same spans in linear time and without recursion.
 
-The bootstrap: base entities are the seeds. Every identifier-like token (it holds a digit) is an instance; the
-word before it, with digits folded, is its lexical pattern (`^` at a text's begin). Spark scores the pattern-instance graph over several
-rounds: a pattern's confidence is the smoothed mean score of its instances, an instance's score the noisy-or of
-its patterns' confidences. Instances are generalised by shape. Patterns of high confidence and enough distinct
-seeds then mark unseen identifiers, as spans of kind `context`. Counts cover all documents.
+The bootstrap: base entities are the seeds. Every identifier-like token (it holds a digit or an @) is an instance;
+the word before it, with digits folded, is its lexical pattern (`^` at a text's begin). Spark scores the
+pattern-instance graph over several rounds: a pattern's confidence is the smoothed mean score of its instances, an
+instance's score the noisy-or of its patterns' confidences. Instances are generalised by shape. Patterns of high
+confidence and enough distinct seeds (different words, however often they occur) then mark unseen identifiers, as
+spans of kind `context`. Counts cover all documents.
 
 Defined results: null text is empty and has no spans; documents are independent rows, so repeated ids give
 repeated rows; an empty table gives no rows; extra columns are ignored. Offsets count code points, end exclusive.
@@ -27,18 +28,24 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: An identifier-like token: a word that holds a digit.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: An identifier-like token: a word that holds a digit or an @.
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: The last word of a text.
 LAST = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+\z"
 
 
-def _found(text: Column, pattern: str, left: bool = False) -> Column:
+def _found(text: Column, pattern: str, left: bool = False, block: int = 256) -> Column:
     """array<struct<s, e, m>>: all matches of pattern with offsets, from the pieces between the matches; with left
-    also the word before each match: the last one of the gap, or else the match before, or else `^`."""
+    also the word before each match: the last one of the gap, or else the match before, or else `^`. Offsets are
+    added up inside blocks of matches and then over the blocks, so that the work is in proportion to the text: one
+    array that grows by a match at a time is copied for each."""
     hits, gaps = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0)), F.split(text, pattern, -1)
-    kind = "array<struct<s:int,e:int,m:string,left:string>>" if left else "array<struct<s:int,e:int,m:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"), *([F.lit("^").alias("before")] if left else []))
+    pairs = F.zip_with(hits, gaps, lambda h, g: F.struct(g.alias("gap"), h.alias("hit")))
+    if left:
+        pairs = F.zip_with(pairs, F.concat(F.array(F.lit("^")), hits), lambda p, b: F.struct(p["gap"].alias("gap"), p["hit"].alias("hit"), b.alias("before")))
+    pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())
+    kind = "struct<s:int,e:int,m:string,left:string>" if left else "struct<s:int,e:int,m:string>"
+    zero = lambda of: F.struct(F.lit(0).alias("at"), F.array().cast(of).alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["gap"])
@@ -46,12 +53,20 @@ def _found(text: Column, pattern: str, left: bool = False) -> Column:
         fields = [s.alias("s"), e.alias("e"), x["hit"].alias("m")]
         if left:
             word = F.regexp_extract(x["gap"], LAST, 1)
-            fields.append(F.when(word == "", acc["before"]).otherwise(word).alias("left"))
-        out = F.concat(acc["out"], F.array(F.struct(*fields))).alias("out")
-        return F.struct(e.alias("at"), out, *([x["hit"].alias("before")] if left else []))
+            fields.append(F.when(word == "", x["before"]).otherwise(word).alias("left"))
+        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(*fields))).alias("out"))
 
-    pairs = F.zip_with(hits, gaps, lambda h, g: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), zero, add, lambda a: a["out"])
+    def behind(acc: Column, b: Column) -> Column:
+        moved = F.transform(b["out"], lambda x: x.withField("s", x["s"] + acc["at"]).withField("e", x["e"] + acc["at"]))
+        return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def joined(p: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(p), F.lit(block)), lambda i: F.aggregate(F.slice(p, i, F.lit(block)), zero(f"array<{kind}>"), add))
+        whole = F.aggregate(blocks, zero(f"array<array<{kind}>>"), behind, lambda acc: F.flatten(acc["out"]))
+        return F.when(F.size(p) > 0, whole).otherwise(F.array().cast(f"array<{kind}>"))
+
+    # The lambda holds the pairs, so that they are made once.
+    return F.get(F.transform(F.array(pairs), joined), F.lit(0))
 
 
 def _digits(m: Column) -> Column:
@@ -108,17 +123,17 @@ def _shape(m: Column) -> Column:
 
 
 def instances(found: DataFrame) -> DataFrame:
-    """One row per identifier-like token: rid, s, e, pattern, shape, seed (it overlaps a base span)."""
+    """One row per identifier-like token: rid, s, e, pattern, shape, seed (it overlaps a base span), value (hash)."""
     text = F.col("text")
     base = F.concat(*[F.col(f"b_{k}") for k in KINDS])
-    out = found.filter(text.rlike("[0-9]")).withColumn("one", F.explode(_found(text, TOKEN, left=True))).withColumn("base", base)
+    out = found.filter(text.rlike("[0-9@]")).withColumn("one", F.explode(_found(text, TOKEN, left=True))).withColumn("base", base)
     one = F.col("one")
     seed = F.exists("base", lambda b: (b["s"] < one["e"]) & (b["e"] > one["s"]))
     # A value after '=' or ':' carries its own context: name=value.
     named = one["m"].rlike("^[A-Za-z_]++[=:]")
     pattern = F.when(named, F.regexp_extract(one["m"], "^([A-Za-z_]++[=:])", 1)).otherwise(one["left"])
     pattern = F.lower(F.regexp_replace(pattern, "[0-9]++", "9"))
-    return out.select("rid", one["s"].alias("s"), one["e"].alias("e"), pattern.alias("pattern"), _shape(one["m"]).alias("shape"), seed.cast("int").alias("seed"))
+    return out.select("rid", one["s"].alias("s"), one["e"].alias("e"), pattern.alias("pattern"), _shape(one["m"]).alias("shape"), seed.cast("int").alias("seed"), F.xxhash64(one["m"]).alias("value"))
 
 
 def score_patterns(inst: DataFrame, rounds: int = 3, least_seeds: int = 3, prior: float = 4.0) -> DataFrame:
@@ -130,13 +145,13 @@ def score_patterns(inst: DataFrame, rounds: int = 3, least_seeds: int = 3, prior
         edge = graph.join(shapes, "shape")
         patterns = edge.groupBy("pattern").agg(
             ((F.sum(F.col("seeds") + (F.col("n") - F.col("seeds")) * F.col("score"))) / (F.sum("n") + F.lit(prior))).alias("confidence"),
-            F.sum("seeds").alias("seeds"),
         )
         edge = graph.join(patterns.select("pattern", "confidence"), "pattern")
         shapes = edge.groupBy("shape").agg(
             F.greatest(F.sum("seeds") / (F.sum("n") + F.lit(prior)), (F.lit(1.0) - F.exp(F.sum(F.log(F.lit(1.0) - F.least("confidence", F.lit(0.999))) * F.col("n")) / (F.sum("n") + F.lit(prior))))).alias("score")
         )
-    return patterns.filter(F.col("seeds") >= least_seeds)
+    seen = inst.filter("seed = 1").select("pattern", "value").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds"))
+    return patterns.join(seen.filter(F.col("seeds") >= least_seeds), "pattern")
 
 
 def discover(docs: DataFrame, confidence: float = 0.6, rounds: int = 3) -> DataFrame:
