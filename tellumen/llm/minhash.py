@@ -15,8 +15,9 @@ Chance of missing a pair at the threshold by banding: below 1e-6 for 0.85 (7 reg
 
 Defined results: null and empty texts have an empty set, are linked with nothing and are their own component;
 texts of fewer words than a shingle have their whole word sequence as one shingle; rows that repeat a doc_id
-with the same set give one row; extra columns are ignored; an empty table gives no rows. doc_id null rows are
-left out of linking and returned with a null component.
+with the same set give one row; rows of one doc_id with different sets are one document, which has the links of
+all its texts, and give a row for each set; extra columns are ignored; an empty table gives no rows. doc_id null
+rows are left out of linking and returned with a null component.
 """
 
 from __future__ import annotations
@@ -205,6 +206,15 @@ def across(members: DataFrame, texts: DataFrame, ngram: int, percent: int, block
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _one_document(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of doc_ids that have several sets; rarely any."""
+    several = sets.groupBy("doc_id").agg(F.collect_set(F.struct("d1", "d2", F.col("n_shingles").alias("n"))).alias("c")).filter(F.size("c") > 1)
+    several = several.select("doc_id", F.explode("c").alias("c")).select("doc_id", "c.*")
+    reps = several.join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]).select("doc_id", "rep")
+    least = reps.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return reps.join(least, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, rows: int | None = None, small: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of the graph that links documents whose shingle sets
     reach `percent`, confirmed on full sets."""
@@ -225,8 +235,9 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, rows: in
     first = near.filter((F.col("rep") != F.col("p.rep")) & _similar_size("n", "p.n", percent)).select(*order("rep", "p.rep")).distinct()
     first = written(estimated(first, classes, percent), "mh-pairs")
     hot = banded.join(pivots.select("band"), "band", "left_semi").select("rep").distinct()
-    texts = written(docs.join(hot.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "mh-text")
-    links = written(confirmed(first, texts, ngram, percent), "mh-links")
+    texts = docs.join(hot.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    texts = written(texts.withColumn("th", F.xxhash64("text")).dropDuplicates(["doc_id", "th"]).drop("th"), "mh-text")
+    links = written(confirmed(first, texts, ngram, percent).distinct().unionByName(_one_document(sets, classes)), "mh-links")
     labels = connected_components(links)
     # What pivots have not joined: members of one band in different components. Bands with equal members count once.
     named = written(banded.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "mh-named")
