@@ -9,10 +9,12 @@ before and after it. Windows, and chunks that span two lines or hold a long line
 more than once in the corpus: the first occurrence (smallest doc_id, then position) is left, the lines of every
 other one are removed after its bytes have been compared with the first's. Each removed line thus has an equal
 one at an earlier place, and the first of equal lines is never removed. An occurrence that overlaps the first one
-in its own document loses only the lines behind it. A passage that fills only a part of its line is no candidate.
+in its own document loses only the lines behind it. A passage that fills only a part of its line is no candidate,
+and neither are lines without any word; no chunk is too short otherwise.
 
 Passes: (1) hashes of every document's chunks and windows; (2) a count by hash; (3) the candidates' bytes against
-the first occurrence's; (4) the removal, joined by doc_id. Texts move by doc_id once, candidate bytes by hash once.
+the first occurrence's; (4) the removal, joined by doc_id. Texts move by doc_id once, candidate bytes by hash once;
+chunks that hold a large share of all occurrences are broadcast and salted instead.
 
 Defined results: null text stays null with no chunks; empty text has one empty line, never removed; rows that
 repeat a doc_id are told apart by their text's hash, and of equal rows the first chunk stays in each; a document
@@ -37,7 +39,7 @@ BASE, BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 class Chunks:
     """Chunks and lines of one slice of texts, and the runs of lines that can be removed, with byte ranges and hashes."""
 
-    def __init__(self, arr: pa.Array, mean: int, long_words: int, least_bytes: int):
+    def __init__(self, arr: pa.Array, mean: int, long_words: int):
         data, off = tx.buffers(arr)
         n_docs = len(off) - 1
         # Lines: a break at each LF and at each document's end.
@@ -69,8 +71,8 @@ class Chunks:
         self.chunk = np.searchsorted(doc[at], np.arange(n_docs + 1))
         self.opens = at
         # Candidates (first line, last line): chunks of two lines or one long line, and windows.
-        able = ((last > at) | long[at]) & (end[last] - begin[at] >= least_bytes)
         total = np.concatenate([[0], np.cumsum(words)])
+        able = ((last > at) | long[at]) & (total[last + 1] > total[at])
         some = np.flatnonzero(words > 0)
         to = np.searchsorted(total, total[some] + long_words) - 1
         since = np.searchsorted(total, total[some + 1] - long_words, side="right") - 1
@@ -78,7 +80,7 @@ class Chunks:
         behind = since >= self.line[doc[some]]
         i = np.concatenate([at[able], some[ahead], since[behind]])
         j = np.concatenate([last[able], to[ahead], some[behind]])
-        wide = (j > i) & (end[j] - begin[i] >= least_bytes)
+        wide = j > i
         wide[: int(able.sum())] = True
         self.i, self.j = np.divmod(np.unique(i[wide] * len(begin) + j[wide]), max(1, len(begin)))
         self.n_bytes = end[self.j] - begin[self.i]
@@ -94,9 +96,9 @@ def _key(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
 
 
-def dedup_lines(docs: DataFrame, mean: int = 3, long_words: int = 50, least_bytes: int = 24) -> DataFrame:
+def dedup_lines(docs: DataFrame, mean: int = 3, long_words: int = 50, hot_share: int = 2000, salts: int = 32) -> DataFrame:
     """docs with `text` replaced, plus ld_chunks and ld_removed (chunks in all, chunks that lost lines)."""
-    args = (mean, long_words, least_bytes)
+    args = (mean, long_words)
 
     def hashes(it):
         for b in batches(it, "text"):
@@ -107,29 +109,39 @@ def dedup_lines(docs: DataFrame, mean: int = 3, long_words: int = 50, least_byte
 
     keyed = _key(docs)
     occ = written(keyed.filter("text IS NOT NULL").mapInArrow(hashes, "doc_id long, th long, pos int, n int, h long, n_bytes long"), "ld-chunks")
-    multi = occ.groupBy("h", "n_bytes").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "th", "pos")).alias("first")).filter("k > 1").drop("k")
+    multi = occ.groupBy("h", "n_bytes").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "th", "pos")).alias("first")).filter("k > 1")
+    multi = written(multi, "ld-multi")
+    # Chunks that hold one in hot_share of all occurrences, so fewer than hot_share of them, are broadcast to their
+    # occurrences; those of all others are too few to fill a task.
+    much = multi.agg(F.sum("k")).first()[0] or 0
+    hot = F.broadcast(multi.filter(F.col("k") * hot_share > much).withColumn("hot", F.lit(True)))
+    cold = multi.filter(F.col("k") * hot_share <= much).withColumn("hot", F.lit(False))
+    keys = ["h", "n_bytes"]
+    found = occ.join(hot, keys).unionByName(occ.join(hot, keys, "left_anti").join(cold, keys))
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
     skip = F.when(own, F.greatest(F.lit(0), F.col("first.pos") + F.col("n") - F.col("pos"))).otherwise(0)
-    cand = occ.join(multi, ["h", "n_bytes"]).select("doc_id", "th", F.struct("pos", "n", "h", (own & (F.col("pos") == F.col("first.pos"))).alias("one"), skip.alias("skip")).alias("c"))
+    cand = found.select("doc_id", "th", F.struct("pos", "n", "h", (own & (F.col("pos") == F.col("first.pos"))).alias("one"), skip.alias("skip"), "hot").alias("c"))
     cand = written(cand.groupBy("doc_id", "th").agg(F.collect_list("c").alias("cs")), "ld-cand")
 
     def bytes_of(it):
         for b in batches(it, "text"):
             c = Chunks(b.column(1), *args)
-            rows = [[], [], [], [], [], [], []]
+            rows = [[], [], [], [], [], [], [], []]
             for k, (doc, th, cs) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 for x in cs:
                     i = c.line[k] + x["pos"]
                     body = c.data[c.begin[i] : c.end[i + x["n"] - 1]].tobytes()
-                    for col, v in zip(rows, (doc, th, x["pos"] + x["skip"], x["pos"] + x["n"], x["h"], x["one"], body), strict=True):
+                    for col, v in zip(rows, (doc, th, x["pos"] + x["skip"], x["pos"] + x["n"], x["h"], x["one"], x["hot"], body), strict=True):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["doc_id", "th", "pos", "stop", "h", "one", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()), strict=True)], ["doc_id", "th", "pos", "stop", "h", "one", "hot", "body"])
 
     null_safe = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["th"] == y["th"])
     both = keyed.join(cand, null_safe(keyed, cand), "inner").select(keyed["doc_id"], "text", keyed["th"], "cs")
-    body = written(both.mapInArrow(bytes_of, "doc_id long, th long, pos int, stop int, h long, one boolean, body binary"), "ld-bytes")
-    ones = body.filter("one").dropDuplicates(["h"]).select("h", F.col("body").alias("kept_body"))
-    gone = body.filter("NOT one").join(ones, "h").filter("body = kept_body").groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "stop")).alias("gone"))
+    body = written(both.mapInArrow(bytes_of, "doc_id long, th long, pos int, stop int, h long, one boolean, hot boolean, body binary"), "ld-bytes")
+    # The first occurrence's bytes meet the others' by hash; a hot chunk's in `salts` tasks.
+    salt = lambda spread: F.when(F.col("hot"), spread).otherwise(0).cast("int")
+    ones = body.filter("one").dropDuplicates(["h"]).select("h", F.explode(F.sequence(F.lit(0), salt(F.lit(salts - 1)))).alias("salt"), F.col("body").alias("kept_body"))
+    gone = body.filter("NOT one").withColumn("salt", salt(F.pmod(F.xxhash64("doc_id", "pos"), F.lit(salts)))).join(ones, ["h", "salt"]).filter("body = kept_body").groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "stop")).alias("gone"))
     names = [f"ld_{k}_{c}" for k, c in enumerate(docs.columns)]
     wide = docs.toDF(*names).withColumns({"ld__id": F.col(names[docs.columns.index("doc_id")]).cast("long"), "ld__th": F.xxhash64(names[docs.columns.index("text")])})
     wide = wide.join(gone.withColumnsRenamed({"doc_id": "g_id", "th": "g_th"}), F.col("ld__id").eqNullSafe(F.col("g_id")) & (F.col("ld__th") == F.col("g_th")), "left")
