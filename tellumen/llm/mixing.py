@@ -10,8 +10,9 @@ within its budget. Prefix sums are made in two levels (by order bucket, then ins
 a third of all rows is never sorted in one task.
 
 Defined results: null text has no tokens and costs nothing; null lang or source is 'unknown'; sources without
-digits are in domain 'other'; repeated rows are ranked by doc_id, then tokens; children of weight 0 get nothing;
-an empty table gives no rows; extra columns are ignored.
+digits are in domain 'other'; repeated rows are ranked by doc_id, then tokens; null doc_ids share one place in each
+epoch's order and are ranked by tokens there, in one task; children of weight 0 get nothing; a text's length does
+not matter beyond its tokens; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,11 +70,13 @@ def budgets(leaves: DataFrame, total: Column, weight=default_weight) -> DataFram
     return at.select(*LEVELS, F.floor("budget").cast("long").alias("leaf_budget"))
 
 
-def mix_sources(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS, portion: float = SHARE, bucket_rows: int = 4096) -> DataFrame:
-    """doc_id, epoch, domain, lang, source, tokens, cum_tokens, leaf_budget: one row per document and epoch taken."""
+def mix_sources(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS, portion: float = SHARE, bucket_rows: int = 4096, weight=default_weight) -> DataFrame:
+    """doc_id, th (the text's hash), epoch, domain, lang, source, tokens, cum_tokens, leaf_budget: one row per document
+    and epoch taken. weight: a level's name -> the target weight of its nodes, a column over the node's columns."""
     src = F.coalesce("source", F.lit("unknown"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("th"),
         domain_of(F.col("source")).alias("domain"),
         F.coalesce("lang", F.lit("unknown")).alias("lang"),
         src.alias("source"),
@@ -81,7 +84,7 @@ def mix_sources(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS, portion
     )
     rows = written(rows, "mix-tokens")
     leaf = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("leaf_tokens"), F.count(F.lit(1)).alias("leaf_docs")).withColumn("cap", F.col("leaf_tokens") * float(epochs))
-    plan = budgets(leaf, F.floor(F.sum("leaf_tokens") * portion).cast("double"))
+    plan = budgets(leaf, F.floor(F.sum("leaf_tokens") * portion).cast("double"), weight)
     leaf = written(leaf.join(plan, list(LEVELS)).withColumn("buckets", F.floor(F.col("leaf_docs") / bucket_rows) + 1).drop("cap"), "mix-leaves")
     # Only epochs that the budget reaches into are laid out.
     need = F.least(F.lit(epochs), F.floor(F.col("leaf_budget") / F.greatest("leaf_tokens", F.lit(1))).cast("int") + 1)
@@ -95,11 +98,11 @@ def mix_sources(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS, portion
     sums = sums.withColumn("before", before).drop("bt")
     inside = F.sum("tokens").over(Window.partitionBy(*place).orderBy("u", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0))
     one = one.withColumn("inside", inside).join(sums, place).withColumn("cum_tokens", F.col("before") + F.col("inside"))
-    return one.filter("cum_tokens <= leaf_budget").select("doc_id", "epoch", *LEVELS, "tokens", "cum_tokens", "leaf_budget")
+    return one.filter("cum_tokens <= leaf_budget").select("doc_id", "th", "epoch", *LEVELS, "tokens", "cum_tokens", "leaf_budget")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
+    return mix_sources(table(spark, sf_dir, "documents")).drop("th")
 
 
 def _level_sql(k: int) -> str:
