@@ -3,11 +3,11 @@
 A linear classifier on the presence of words, trained in numpy with Adam on the class-prior-corrected risk
     prior * E_P[loss(z)] + max(0, E_U[loss(-z)] - prior * E_P[loss(-z)]),
 where a step with a negative second part climbs back on it. P: documents labelled toxic, a sample of about `most_p`
-of them (smallest hashes of doc_id). U: every document that is not held out, each distinct set of words once. The
-class prior is the toxic share of the training labels. Features are words without punctuation and their first
+of them (smallest hashes of doc_id). U: every document that is not held out; of a text that makes up more than one
+in 2,000 rows one copy, and in training each distinct set of words once. The class prior is the toxic share of the training labels. Features are words without punctuation and their first
 letters that P holds and that occur in P significantly more or less often than in U, counted over all of U.
 
-U's word sets, as numbers of P's words, are written once and dealt by hash into groups of about `group` documents.
+U's word sets, as numbers of the features, are written once and dealt by hash into groups of about `group` documents.
 In each of two rounds every group trains from the common parameters on its own documents and all of P; the results
 are averaged, weighted by documents, so the training grows with the corpus. Every whole text is scored.
 
@@ -81,7 +81,7 @@ class Sparse:
 
 
 def choose_features(keys: np.ndarray, cp: np.ndarray, cu: np.ndarray, n_p: int, n_u: int, least: int = 3, z: float = 3.5, most: int = 4096) -> np.ndarray:
-    """Numbers of the keys whose shares in P and U differ most, by z score. cp, cu: documents that hold each key."""
+    """Numbers of the `most` (below 2 ** 15) keys whose shares in P and U differ most, by z score. cp, cu: documents that hold each key."""
     able = (cp >= least) | (cu >= max(least, n_u // 50))
     fp, fu = (cp + 0.5) / (n_p + 1), (cu + 0.5) / (n_u + 1)
     score = np.abs(fp - fu) / np.sqrt(fp * (1 - fp) / max(1, n_p) + fu * (1 - fu) / max(1, n_u))
@@ -113,7 +113,34 @@ def train(xp: Sparse, xu: Sparse, w: np.ndarray, prior: float, steps: int, lr: f
     return w
 
 
-def _unlabelled(docs: DataFrame, keys: np.ndarray) -> DataFrame:
+def without_hot_copies(docs: DataFrame, share: int = 2000) -> DataFrame:
+    """docs (doc_id, text) with one row of each text that makes up more than one in `share` of all rows; fewer than
+    `share` texts can, so they are broadcast."""
+    th = F.xxhash64("text")
+    n = docs.count()
+    hot = docs.groupBy(th.alias("h")).agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("first")).filter(F.col("k") * share > n)
+    return docs.join(F.broadcast(hot), th == F.col("h"), "left").filter("h IS NULL OR k = 1 OR doc_id = first").select("doc_id", "text")
+
+
+def _counted(docs: DataFrame, keys: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of documents and, for each key, of those that hold it."""
+    index, size = tx.HashIndex(keys), len(keys)
+
+    def run(it):
+        total = np.zeros(size + 1)
+        for b in batches(it, "text"):
+            total[-1] += b.num_rows
+            for x in _word_sets(b.column(0)):
+                at = index.find(x)
+                total[at[at >= 0]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "body"])
+
+    got = summed(docs.select("text").mapInArrow(run, "part int, body binary")).collect()
+    total = np.frombuffer(got[0].body) if got else np.zeros(size + 1)
+    return int(total[-1]), total[:-1]
+
+
+def _sets(docs: DataFrame, keys: np.ndarray) -> DataFrame:
     """key (a hash of the whole word set), w (numbers of the keys that the text holds): each word set once."""
     index = tx.HashIndex(keys)
 
@@ -123,43 +150,23 @@ def _unlabelled(docs: DataFrame, keys: np.ndarray) -> DataFrame:
             with np.errstate(over="ignore"):
                 key = np.array([tx.mix(x).sum(dtype=U) for x in sets], U)
             at = [index.find(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(key)), pa.array([x[x >= 0].astype(np.int32).tobytes() for x in at], pa.binary())], ["key", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(key)), pa.array([x[x >= 0].astype(np.int16).tobytes() for x in at], pa.binary())], ["key", "w"])
 
     return docs.select("text").mapInArrow(run, "key long, w binary").dropDuplicates(["key"])
 
 
-def _counted(u: DataFrame, size: int) -> tuple[int, np.ndarray]:
-    """Documents of u and, for each key, those that hold it."""
-
-    def run(it):
-        total = np.zeros(size + 1)
-        for b in it:
-            total[-1] += b.num_rows
-            for x in b.column(0).to_pylist():
-                total[np.frombuffer(x, np.int32)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "body"])
-
-    got = summed(u.select("w").mapInArrow(run, "part int, body binary")).collect()
-    total = np.frombuffer(got[0].body) if got else np.zeros(size + 1)
-    return int(total[-1]), total[:-1]
-
-
 def fit(p: list, docs: DataFrame, prior: float, group: int, rounds: int = 2, steps: int = 200) -> tuple[np.ndarray, np.ndarray, float] | None:
     """Feature hashes, weights and bias; docs: the unlabelled documents. None without any."""
     keys, cp = np.unique(np.concatenate([*p, np.zeros(0, U)]), return_counts=True)
-    u = written(_unlabelled(docs, keys), "tox-sets")
-    n, cu = _counted(u, len(keys))
+    docs = without_hot_copies(docs)
+    n, cu = _counted(docs, keys)
     if not n:
         return None
-    chosen = choose_features(keys, cp, cu, len(p), n)
-    number = np.full(len(keys) + 1, -1)
-    number[chosen] = np.arange(len(chosen))
-
-    def sparse(sets):
-        at = [number[x] for x in sets]
-        return Sparse([x[x >= 0] for x in at])
-
-    xp = sparse([np.searchsorted(keys, x) for x in p])
+    chosen = keys[choose_features(keys, cp, cu, len(p), n)]
+    u = written(_sets(docs, chosen), "tox-sets")
+    index = tx.HashIndex(chosen)
+    at = [index.find(x) for x in p]
+    xp = Sparse([x[x >= 0] for x in at])
     w = np.zeros(len(chosen) + 1)
     w[-1] = np.log(prior / (1 - prior))
     groups = max(1, round(n / group))
@@ -168,7 +175,7 @@ def fit(p: list, docs: DataFrame, prior: float, group: int, rounds: int = 2, ste
 
         def run(it, k=k, w=w):
             def trained(sets):
-                got = train(xp, sparse([np.frombuffer(x, np.int32) for x in sets]), w, prior, steps, 0.1 / (1 + 4 * k))
+                got = train(xp, Sparse([np.frombuffer(x, np.int16) for x in sets]), w, prior, steps, 0.1 / (1 + 4 * k))
                 return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.append(got * len(sets), len(sets)).tobytes()], pa.binary())], ["part", "body"])
 
             now, held = None, []
@@ -184,7 +191,7 @@ def fit(p: list, docs: DataFrame, prior: float, group: int, rounds: int = 2, ste
 
         total = np.frombuffer(summed(dealt.mapInArrow(run, "part int, body binary")).first().body)
         w = total[:-1] / total[-1]
-    return keys[chosen], w[:-1], float(w[-1])
+    return chosen, w[:-1], float(w[-1])
 
 
 def score_texts(docs: DataFrame, keys: np.ndarray, weights: np.ndarray, bias: float) -> DataFrame:
