@@ -27,7 +27,7 @@ from tellumen.llm import textops as tx
 from tellumen.llm.common import batches, summed, table
 
 U = np.uint64
-FEATURE_BITS, SKETCH, RANK, PASSAGE, STEP = 11, 192, 48, 32, 8
+FEATURE_BITS, SKETCH, RANK, PASSAGE, STEP, ANCHOR = 11, 192, 48, 32, 8, 5
 FEATURES = 1 << FEATURE_BITS
 
 
@@ -36,11 +36,12 @@ def _feature(h: np.ndarray) -> np.ndarray:
 
 
 def _sketch_rows(docs: DataFrame) -> DataFrame:
-    """(part, body): per task, rows 0..SKETCH-1 of the sketch, the word counts by feature and the passage count."""
+    """(part, body): rows 0..SKETCH-1 of the sketch, then the passages that hold each feature and how many there are,
+    then the words of each feature."""
 
     def run(it):
         acc = np.zeros(SKETCH * FEATURES)
-        df = np.zeros(FEATURES + 1)
+        df, count = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
         for b in batches(it, "text"):
             w = tx.Words(b.column(0))
             if not len(w):
@@ -52,10 +53,13 @@ def _sketch_rows(docs: DataFrame) -> DataFrame:
             f = _feature(w.hash)
             sign = np.where(seed & U(1), 1.0, -1.0)
             acc += np.bincount(((seed >> U(8)) % U(SKETCH)).astype(np.int64)[row] * FEATURES + f, weights=sign[row], minlength=len(acc))
-            df[:-1] += np.bincount(f, minlength=FEATURES)
+            count[:-1] += np.bincount(f, minlength=FEATURES)
+            # A feature counts once a passage: repeats within a passage lie next to each other when sorted.
+            held = np.sort(row * FEATURES + f)
+            df[:-1] += np.bincount(held[np.append(True, held[1:] != held[:-1])] % FEATURES, minlength=FEATURES)
             df[-1] += len(seed)
-        rows = [*acc.reshape(SKETCH, FEATURES), df]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH + 1), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "body"])
+        rows = [*acc.reshape(SKETCH, FEATURES), df, count]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH + 2), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "body"])
 
     return summed(docs.select("text").mapInArrow(run, "part int, body binary"))
 
@@ -65,10 +69,9 @@ def latent_projection(docs: DataFrame) -> np.ndarray:
     got = {r.part: np.frombuffer(r.body) for r in _sketch_rows(docs).collect()}
     if not got or got[SKETCH][-1] == 0:
         return np.zeros((FEATURES, RANK), np.float32)
-    count, n = got[SKETCH][:-1], got[SKETCH][-1]
+    df, n, count = got[SKETCH][:-1], got[SKETCH][-1], got[SKETCH + 1][:-1]
     token = count / count.sum()
-    # The passages that hold a feature, from its count as if spread at random.
-    idf = np.log((n + 1) / (n * -np.expm1(-count / n) + 1)) + 0.1
+    idf = np.log((n + 1) / (df + 1)) + 0.1
     rows = np.array([got[k] for k in range(SKETCH)])
     # One half of the sketch finds the directions, the other measures passages along them without bias.
     _, s, vt = np.linalg.svd(rows[::2] * idf, full_matrices=False)
@@ -99,6 +102,15 @@ def lcs(masks: dict, m: int, words: list) -> int:
     return m - v.bit_count()
 
 
+def runs(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of `size` successive words from each place that has as many."""
+    n = len(h) - size + 1
+    acc = tx.fold(np.full(n, size, U), h[:n])
+    for k in range(1, size):
+        acc = tx.fold(acc, h[k : n + k])
+    return acc
+
+
 class Items:
     """The block of benchmark items, grouped by window length in steps."""
 
@@ -120,12 +132,45 @@ class Items:
         self.n = np.array([len(x) for x in self.words], int)
         q = np.array(latent, np.float32).reshape(len(self.ids), RANK)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
+        self.q = q
         self.groups = {}
         steps = np.maximum(1, np.rint(self.n / STEP).astype(int))
         for s in np.unique(steps):
             at = np.flatnonzero(steps == s)
             self.groups[int(s)] = (at, q[at].copy())
 
+        # Exact runs: items by the hash of their first words, at most ANCHOR of them.
+        self.arrays = [np.array(x, U) for x in self.words]
+        self.anchors = {}
+        for size in sorted({min(ANCHOR, len(x)) for x in self.arrays}):
+            at = [k for k, x in enumerate(self.arrays) if min(ANCHOR, len(x)) == size]
+            keys = np.array([runs(self.arrays[k][:size], size)[0] for k in at], U)
+            order = np.argsort(keys, kind="stable")
+            self.anchors[size] = (tx.HashIndex(np.unique(keys)), keys[order], np.array(at)[order])
+
+    def exact(self, w: tx.Words) -> list[tuple[int, int, int]]:
+        """(row, item, start): the first place in each text where all words of an item stand in a row."""
+        out = []
+        for size, (index, keys, items) in self.anchors.items():
+            if len(w) < size:
+                continue
+            key = runs(w.hash, size)
+            hit = np.flatnonzero(index.find(key) >= 0)
+            hit = hit[w.doc[hit + size - 1] == w.doc[hit]]
+            key = key[hit]
+            lo, hi = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
+            for k in range(int((hi - lo).max()) if len(hit) else 0):
+                more = lo + k < hi
+                for item in np.unique(items[lo[more] + k]).tolist():
+                    at = hit[more][items[lo[more] + k] == item]
+                    words = self.arrays[item]
+                    at = at[at + len(words) <= w.first[w.doc[at] + 1]]
+                    for j in range(size, len(words)):
+                        at = at[w.hash[at + j] == words[j]]
+                    docs, first = np.unique(w.doc[at], return_index=True)
+                    out.extend(zip(docs.tolist(), [item] * len(docs), (at[first] - w.first[docs]).tolist(), strict=True))
+        return out
+
     @staticmethod
     def _masks(words: list) -> dict:
         out: dict = {}
@@ -134,7 +179,7 @@ class Items:
         return out
 
 
-HIT = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, verbatim boolean, start_word long, end_word long"
+HIT = "doc_id long, th long, item_id long, cosine double, lcs_share double, answer_share double, verbatim boolean, start_word long, end_word long"
 
 
 def _search(docs: DataFrame, items: Items, proj: np.ndarray, cosine: float, verbatim: float, paraphrase: float, least: int) -> DataFrame:
@@ -170,6 +215,11 @@ def _search(docs: DataFrame, items: Items, proj: np.ndarray, cosine: float, verb
                 sim, first = sim[j, i] / norm[i], in_doc[use[i]] * STEP
                 for doc, col, start, cos in zip(doc_of[use[i]].tolist(), cols[j].tolist(), first.tolist(), sim.tolist(), strict=True):
                     found.setdefault((doc, col), []).append((start, cos, steps * STEP))
+            for doc, k, start in items.exact(w):
+                here = w.first[doc] + start
+                latent = proj[f[here : here + int(items.n[k])]].sum(axis=0)
+                cos = float(latent @ items.q[k]) / max(float(np.linalg.norm(latent)), 1e-9)
+                found.setdefault((doc, k), []).append((start, cos, int(items.n[k])))
             out = []
             for (doc, k), wins in found.items():
                 m = int(items.n[k])
@@ -195,9 +245,9 @@ def _search(docs: DataFrame, items: Items, proj: np.ndarray, cosine: float, verb
                     out.append((doc, items.ids[k], best[0], best[1], best[2], best[1] >= need, best[3], best[4]))
             if out:
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()).take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:5]], pa.array(cols[5], pa.bool_()), pa.array(cols[6], pa.int64()), pa.array(cols[7], pa.int64())], [x.split()[0] for x in HIT.split(", ")])
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()).take(pa.array(cols[0])), b.column(2).take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:5]], pa.array(cols[5], pa.bool_()), pa.array(cols[6], pa.int64()), pa.array(cols[7], pa.int64())], [x.split()[0] for x in HIT.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, HIT)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, HIT)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.55, verbatim: float = 0.8, paraphrase: float = 0.55, least: int = 6, block: int = 8192) -> DataFrame:
