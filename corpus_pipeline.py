@@ -2,6 +2,12 @@
 
 Each stage takes all that its predecessor kept and returns it as `documents` has it (the last one adds the mix's
 columns). Stages are written to the shared folder between calls by run(), or by the caller that uses STAGES.
+
+Defined results: documents with a null or empty text are rejected by the first stage; rows that repeat a doc_id stay
+apart by their text in every stage, and equal rows stay equal until the mix, which counts each of them; null doc_ids
+are judged by their text and take part in all stages but near-dedup, which keeps them; a text that line dedup has
+emptied stays, with no tokens; an empty table gives no rows; extra columns pass through to the end, as long as they
+are not named epoch, domain or tokens, which the last stage adds.
 """
 
 from __future__ import annotations
@@ -43,15 +49,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("k_id")).distinct()
-    return docs.join(gone, _same(docs, gone), "left_anti")
+    """Documents that hold no benchmark item; ids are matched together with the text's hash."""
+    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th")).distinct()
+    return docs.join(gone, _same(docs, gone, F.xxhash64(docs["text"]) == gone["k_th"]), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix, once for each epoch taken, with epoch, domain and tokens."""
-    mix = mix_sources(docs).select(F.col("doc_id").alias("k_id"), "epoch", "domain", "tokens")
-    return docs.join(mix, _same(docs, mix)).drop("k_id")
+    """Documents of the mix, once for each epoch taken, with epoch, domain and tokens. Rows that repeat doc_id and
+    text are one document here, which the mix may take several times."""
+    mix = mix_sources(docs).select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"), "epoch", "domain", "tokens")
+    once = docs.withColumn("k__th", F.xxhash64("text")).dropDuplicates(["doc_id", "k__th"])
+    return once.join(mix, _same(once, mix, once["k__th"] == mix["k_th"])).drop("k_id", "k_th", "k__th")
 
 
 STAGES = [
