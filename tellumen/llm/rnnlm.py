@@ -343,10 +343,22 @@ def window_gradient(net: Gru, h: np.ndarray, x_at: np.ndarray, cls: np.ndarray,
     the state after it. Arrays are time-major."""
     span, n_rows = x_at.shape
     kind = h.dtype
-    hs, rz, cand, gn = (np.empty((span + (k == 0), n_rows, w), kind) for k, w in enumerate((HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN)))
+    hs, r, z, by_n, by_z, by_r = (np.empty((span + (k == 0), n_rows, HIDDEN), kind) for k in range(6))
     hs[0] = h
     for k in range(span):
-        hs[k + 1], rz[k], cand[k], gn[k] = net.step(net.p[0][x_at[k]], hs[k])
+        hs[k + 1], rz, cand, gn = net.step(net.p[0][x_at[k]], hs[k])
+        r[k], z[k] = rz[:, :HIDDEN], rz[:, HIDDEN:]
+        # What the step's dh will be multiplied with, while all of it is in the cache.
+        np.multiply(cand, cand, out=by_n[k])
+        np.subtract(1, by_n[k], out=by_n[k])
+        keep = 1 - z[k]
+        by_n[k] *= keep
+        np.subtract(hs[k], cand, out=by_z[k])
+        keep *= z[k]
+        by_z[k] *= keep
+        np.subtract(1, r[k], out=by_r[k])
+        by_r[k] *= r[k]
+        by_r[k] *= gn
     grad = np.zeros_like(net.flat)
     g = net.views(grad)
     if live.all():
@@ -354,11 +366,6 @@ def window_gradient(net: Gru, h: np.ndarray, x_at: np.ndarray, cls: np.ndarray,
     else:
         dh_out = np.zeros((span, n_rows, HIDDEN), kind)
         _, dh_out[live] = net.log_prob(hs[1:][live], cls[live], word[live], g)
-    r, z = rz[:, :, :HIDDEN], rz[:, :, HIDDEN:]
-    # What each step's dh is multiplied with, for the whole window at once.
-    by_n = (1 - z) * (1 - cand * cand)
-    by_z = (hs[:-1] - cand) * z * (1 - z)
-    by_r = gn * r * (1 - r)
     dx = np.empty((span, n_rows, 3 * HIDDEN), kind)
     dg = np.empty_like(dx)
     back = np.zeros_like(h)
@@ -373,7 +380,8 @@ def window_gradient(net: Gru, h: np.ndarray, x_at: np.ndarray, cls: np.ndarray,
         dg[k, :, : 2 * HIDDEN] = dx[k, :, : 2 * HIDDEN]
         np.multiply(dn, r[k], out=dg[k, :, 2 * HIDDEN :])
         back = dg[k] @ recur
-        back += dh * z[k]
+        dh *= z[k]
+        back += dh
     g[1][...] = hs[:-1].reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
     flat_at, flat_dx = x_at.ravel(), dx.reshape(-1, 3 * HIDDEN)
     by = np.argsort(flat_at.astype(np.int16) if net.shapes[0][0] < 1 << 15 else flat_at, kind="stable")
