@@ -51,6 +51,11 @@ def row_mean(*cols: str) -> Column:
     return F.try_divide(total, sum((F.col(c).isNotNull().cast("int") for c in cols), F.lit(0)))
 
 
+def row_max(*cols: str) -> Column:
+    """Greatest of the columns that are not null."""
+    return F.greatest(*[F.col(c) for c in cols]) if len(cols) > 1 else F.col(cols[0])
+
+
 def stage_label(stage: Column, edges: list[float]) -> Column:
     """s{i}[lo,hi) for stage i of the given edges."""
     ends = ["-inf", *[f"{e:g}" for e in edges], "inf"]

@@ -101,3 +101,12 @@ def censoring_depth(df: DataFrame, limits: list[int]) -> DataFrame:
     last = df.filter("failure_time IS NULL").groupBy(*KEY).agg(F.max("ds").alias("last")).crossJoin(end)
     gap = F.datediff("end", "last")
     return last.agg(F.count(F.lit(1)).alias("drives"), *[F.count_if(gap > k).alias(f"over_{k}") for k in limits])
+
+
+def attach_dtf(windows: DataFrame, rows: DataFrame, checked: bool = False) -> DataFrame:
+    """windows (key, ds) with dtf of the same drive and day; without such a row, or a failure, infinite. checked: an
+    error when no row matches at all."""
+    got = windows.join(rows.select(*KEY, "ds", days_to_failure().cast("double").alias("dtf")), [*KEY, "ds"], "left")
+    if checked and windows.join(rows.select(*KEY, "ds"), [*KEY, "ds"], "left_semi").isEmpty():
+        raise RuntimeError("no window matches any row")
+    return got.withColumn("dtf", F.coalesce("dtf", F.lit(float("inf"))))

@@ -44,3 +44,28 @@ def violations(split: DataFrame, column: str) -> DataFrame:
 
 def split_report(split: DataFrame) -> DataFrame:
     return split.groupBy("part").agg(F.count(F.lit(1)).alias("drives"), F.sum("drive_label").alias("positives"), F.array_join(F.array_sort(F.collect_set("vendor")), ",").alias("vendors"))
+
+
+def stage_splits(drives: DataFrame, cal: float = 0.2, seed: int = 42) -> DataFrame:
+    """drives (key, stage: the drive's own) once for each stage held out, with fold and part: its drives are test, the
+    others cal and train, so that no drive is on two sides."""
+    return held_out_splits(drives, "stage", [], cal, seed)
+
+
+def usable_folds(split: DataFrame, rows: DataFrame, least_test: int = 20, least_cal: int = 10) -> DataFrame:
+    """fold, positives of test and cal rows, usable. rows: key, label."""
+    n = split.join(rows.select(*KEY, "label"), KEY).groupBy("fold").agg(*[F.coalesce(F.sum(F.when(F.col("part") == p, F.col("label"))), F.lit(0)).cast("long").alias(f"{p}_pos") for p in ("test", "cal")])
+    return n.withColumn("usable", (F.col("test_pos") >= least_test) & (F.col("cal_pos") >= least_cal))
+
+
+def widened(split: DataFrame, folds: list, prefix: str = "part") -> DataFrame:
+    """A row per drive with its part in every fold."""
+    return split.groupBy(*KEY).pivot("fold", folds).agg(F.first("part")).select(*KEY, *[F.col(str(f)).alias(f"{prefix}_{f}") for f in folds])
+
+
+def manifest(panel: DataFrame, labelled: DataFrame, split: DataFrame) -> DataFrame:
+    """Every drive of a sample: failed, in_labelled, part (null outside the split)."""
+    drives = panel.groupBy(*KEY).agg(F.max(F.col("failure_time").isNotNull()).alias("failed"))
+    known = labelled.select(*KEY).distinct().withColumn("in_labelled", F.lit(True))
+    out = drives.join(known, KEY, "left").join(split.select(*KEY, "part"), KEY, "left")
+    return out.withColumn("in_labelled", F.coalesce("in_labelled", F.lit(False)))

@@ -49,17 +49,17 @@ def failure_curve(df: DataFrame, age: str, y: str, keys: list[str], bins: int =
 
 
 def binary_segment(signal: np.ndarray, splits: int, least: int = 5) -> list[int]:
-    """Greedy splits of a short signal by the largest fall in squared error; the first best one wins."""
-    prefix = np.concatenate([[0.0], np.cumsum(signal)])
-    squares = np.concatenate([[0.0], np.cumsum(signal**2)])
+    """Greedy splits of a short signal by the largest fall in squared error, as many as the segments' lengths allow;
+    the first best one wins, also where nothing falls."""
+    x = np.asarray(signal, float) - np.mean(signal)
+    prefix, squares = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x, x * x))
 
     def sse(a, b):
         return squares[b] - squares[a] - (prefix[b] - prefix[a]) ** 2 / (b - a)
 
-    cuts = [0, len(signal)]
+    cuts = [0, len(x)]
     for _ in range(splits):
         options = [(sse(a, b) - sse(a, m) - sse(m, b), m) for a, b in zip(cuts, cuts[1:]) for m in range(a + least, b - least + 1)]
-        options = [o for o in options if o[0] > 0]
         if not options:
             break
         cuts = sorted([*cuts, max(options, key=lambda o: (o[0], -o[1]))[1]])
@@ -75,12 +75,31 @@ def changepoint_edges(df: DataFrame, age: str, y: str, keys: list[str], stages:
     return [(curve[k - 1].age + curve[k].age) / 2 for k in at]
 
 
-def quantile_edges(df: DataFrame, age: str, stages: int) -> list[float]:
-    """Interior quantiles without repeats."""
-    q = df.agg(F.percentile(age, F.array(*[F.lit(k / stages) for k in range(1, stages)])).alias("q")).first().q
-    if not q:
-        raise ValueError("no ages")
-    return sorted(set(q))
+def quantile_edges(df: DataFrame, age: str, stages: int, groups: list[str] | None = None) -> DataFrame:
+    """groups, edges: interior quantiles of the finite ages without repeats, ascending."""
+    x = F.when(~F.isnan(age) & (F.abs(age) < float("inf")), F.col(age))
+    q = F.percentile(x, F.array(*[F.lit(k / stages) for k in range(1, stages)]))
+    return df.groupBy(*(groups or [])).agg(F.array_sort(F.array_distinct(q)).alias("edges"))
+
+
+def window_age(windows: DataFrame, column: str = "r_9") -> DataFrame:
+    """windows with age: the raw value at the window's end; NaN where it is not finite."""
+    if column not in windows.columns:
+        raise ValueError(f"{column} is not among the windows' columns")
+    x = F.col(column).cast("double")
+    return windows.withColumn("age", F.when(F.abs(x) < float("inf"), x).otherwise(float("nan")))
+
+
+def fit_stages(df: DataFrame, age: str, y: str, keys: list[str], strategy: str = "quantile", stages: int = 5) -> list[float]:
+    """Edges by quantiles or change points, fitted on df; assign() places ages between them. A short list."""
+    if strategy == "changepoint":
+        return changepoint_edges(df, age, y, keys, stages)
+    if strategy != "quantile":
+        raise ValueError(f"strategy must be quantile or changepoint, not {strategy}")
+    edges = quantile_edges(df, age, stages).first().edges
+    if edges is None:
+        raise ValueError("no finite ages")
+    return edges
 
 
 def stage_table(df: DataFrame, age: str, y: str, edges: list[float]) -> DataFrame:
