@@ -106,23 +106,11 @@ def multiplicities(drives: DataFrame, draws: int, seed: int = 42) -> DataFrame:
     return taken.groupBy("draw", "code").agg(F.count(F.lit(1)).alias("m")).join(codes, "code").drop("code")
 
 
-def bootstrap_coverage(cal: DataFrame, test: DataFrame, alpha: float, draws: int, seed: int = 42) -> DataFrame:
-    """draw, qhat, coverage: both parts resampled by drive, the threshold fitted again in each draw. Rows are first
-    reduced to counts of (drive, score)."""
-    hist = lambda df: df.withColumn("s", lac()).groupBy("drive", "s").agg(F.count(F.lit(1)).alias("c"))
-    again = lambda df, s: df.join(multiplicities(df, draws, s), "drive").groupBy("draw", "s").agg(F.sum(F.col("c") * F.col("m")).alias("c"))
-    h = again(hist(cal), seed)
-    h = h.withColumns({"cum": F.sum("c").over(_w("draw").orderBy("s")), "n": F.sum("c").over(_w("draw"))})
-    q = h.groupBy("draw").agg(F.coalesce(F.min(F.when(F.col("cum") >= F.ceil((F.col("n") + 1) * F.lit(1 - alpha)), F.col("s"))), F.lit(float("inf"))).alias("qhat"))
-    t = again(hist(test), seed + 1).join(F.broadcast(q), "draw")
-    return t.groupBy("draw").agg(F.max("qhat").alias("qhat"), (F.sum(F.when(F.col("s") <= F.col("qhat"), F.col("c")).otherwise(0)) / F.sum("c")).alias("coverage"))
-
-
 def interval(draws: DataFrame, value: str) -> DataFrame:
     """lo, hi (2.5 and 97.5 %), se (ddof 1), n_nan of bootstrap draws."""
     ok = F.when(~F.isnan(value), F.col(value))
     q = draws.agg(F.percentile(ok, F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.stddev_samp(ok).alias("se"), F.count_if(ok.isNull()).alias("n_nan"))
-    return q.select(F.round(F.col("q")[0], 6).alias("lo"), F.round(F.col("q")[1], 6).alias("hi"), F.round("se", 6).alias("se"), "n_nan")
+    return q.select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "se", "n_nan")
 
 
 def drive_correlation(df: DataFrame, x: str, y: str, draws: int, seed: int = 42) -> DataFrame:

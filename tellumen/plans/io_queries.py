@@ -71,7 +71,7 @@ def _folds(spark, d):
 def _(spark, d):
     x = _labelled(spark, d)
     win = pn.windows(pn.densify(x, FEATURES), FEATURES, W).join(sp.standard_split(_drives(spark, d)).select(*KEY, "part"), KEY)
-    m = ml.Classifier([f"{c}_{s}" for c in FEATURES for s in STATS], "random_forest", trees=20, depth=6).fit(win.filter("part <> 'test'"))
+    m = ml.Classifier([f"{c}_{s}" for c in FEATURES for s in STATS], "random_forest").fit(win.filter("part <> 'test'"))
     return auc(m.score(win.filter("part = 'test'")), [])
 
 

@@ -14,7 +14,7 @@ from tellumen.operators import stages as st
 from tellumen.plans.registry import _DENSE, _LABELS, H, MIN, W, _drives, _labelled, query
 from tellumen.sources.fleet import FEATURES, KEY, PANEL_SQL, missing, panel, read
 
-G = 100
+G, EXACT = 100, ["n_1", "n_2", "r_2"]
 _CELLS = _DENSE + f""",
 wk AS (SELECT *, pos >= {W - 1} AND label >= 0 AND avg(present) OVER (PARTITION BY model, disk_id ORDER BY ds ROWS {W - 1} PRECEDING) >= 0.5 AS kept FROM wp),
 cells AS (SELECT *, sum(kept::INT) OVER (PARTITION BY model, disk_id ORDER BY ds ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING) AS covers FROM wk),
@@ -48,14 +48,26 @@ def _(spark, d):
     return ts.constant_features(ts.fit_zscore(df, [*FEATURES, "flat"]), [*FEATURES, "flat"]).select("feature", F.round("sd", 4).alias("sd"), F.lit(True).alias("bad"))
 
 
-_GRID = "[" + ", ".join(repr(k / (G - 1)) for k in range(G)) + "]"
+def _rank_sql(features: list[str], size: int) -> str:
+    grid = "[" + ", ".join(repr(k / (size - 1)) for k in range(size)) + "]"
+    return "SELECT model, disk_id, ds, " + ", ".join(f"round(len(list_filter({c}_g, lambda e: e < {c})) / {size - 1}.0::DOUBLE - 0.5, 4) AS {c}" for c in features) + f" FROM cells JOIN (SELECT vendor, {', '.join(f'quantile_cont({c}, {grid}) AS {c}_g' for c in features)} FROM each GROUP BY vendor) g USING (vendor) WHERE kept"
 
 
-@query("ts6_rank", "SELECT model, disk_id, ds, " + ", ".join(f"round(len(list_filter({c}_g, lambda e: e < {c})) / {G - 1}.0::DOUBLE - 0.5, 4) AS {c}" for c in FEATURES) + f" FROM cells JOIN (SELECT vendor, {', '.join(f'quantile_cont({c}, {_GRID}) AS {c}_g' for c in FEATURES)} FROM each GROUP BY vendor) g USING (vendor) WHERE kept", _CELLS)
-def _(spark, d):
+def _ranked(spark, d, features, size):
     df = _cells(spark, d)
-    own, pooled = ts.fit_rank(df, FEATURES, "vendor", G)
-    return ts.rank(df.filter("kept"), own, pooled, FEATURES, "vendor", G).select(*KEY, "ds", *_r(FEATURES))
+    own, pooled = ts.fit_rank(df, features, "vendor", size)
+    return ts.rank(df.filter("kept"), own, pooled, features, "vendor", size).select(*KEY, "ds", *_r(features))
+
+
+@query("ts6_rank", _rank_sql(FEATURES, G), _CELLS)
+def _(spark, d):
+    return _ranked(spark, d, FEATURES, G)
+
+
+# The whole grid, on the features that no order of summation changes: a mean's last bit moves it across a grid point.
+@query("ts6_rank_1000", _rank_sql(EXACT, 1000), _CELLS)
+def _(spark, d):
+    return _ranked(spark, d, EXACT, 1000)
 
 
 _OWN = ", ".join(f"list({c}) OVER fr AS {c}_w" for c in FEATURES)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tellumen.functions import scalars as sc
+from tellumen.operators import bootstrap as bs
 from tellumen.operators import conformal as cp
 from tellumen.operators import ranking as fs
 from tellumen.operators import weighted as wt
@@ -130,28 +131,45 @@ def _(spark, d):
 
 
 _BOOT = """{n} AS (SELECT draw, drive, count(*) AS m FROM (SELECT draw, floor(('0x' || substr(md5(concat_ws('|', '{seed}', draw::VARCHAR, slot::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * n) AS code
- FROM (SELECT unnest(range(20)) AS draw), (SELECT row_number() OVER (ORDER BY drive) - 1 AS slot, count(*) OVER () AS n FROM (SELECT DISTINCT drive FROM scored WHERE {where}))) JOIN (SELECT drive, row_number() OVER (ORDER BY drive) - 1 AS code FROM (SELECT DISTINCT drive FROM scored WHERE {where})) USING (code) GROUP BY ALL)"""
-_RS2 = f"""{SCORED_SQL}, {_BOOT.format(n='mc', seed=42, where="part = 'cal'")}, {_BOOT.format(n='mt', seed=43, where="part = 'test'")},
+ FROM (SELECT unnest(range({draws})) AS draw), (SELECT row_number() OVER (ORDER BY drive) - 1 AS slot, count(*) OVER () AS n FROM (SELECT DISTINCT drive FROM scored WHERE {where}))) JOIN (SELECT drive, row_number() OVER (ORDER BY drive) - 1 AS code FROM (SELECT DISTINCT drive FROM scored WHERE {where})) USING (code) GROUP BY ALL)"""
+_RS2 = f"""{SCORED_SQL}, {_BOOT.format(n='mc', seed=42, draws=2000, where="part = 'cal'")}, {_BOOT.format(n='mt', seed=43, draws=2000, where="part = 'test'")},
 sc AS (SELECT *, CASE WHEN y = 1 THEN 1 - p ELSE 1 - (1 - p) END AS s FROM scored),
 q AS (SELECT draw, min(CASE WHEN cum >= ceil((n + 1) * 0.9::DOUBLE) THEN s END) AS qhat FROM (SELECT draw, s, sum(c) OVER (PARTITION BY draw ORDER BY s) AS cum, sum(c) OVER (PARTITION BY draw) AS n FROM (SELECT draw, s, sum(m) AS c FROM sc JOIN mc USING (drive) WHERE part = 'cal' GROUP BY ALL)) GROUP BY draw)"""
 
 
-@query("rs2_cluster_bootstrap", "SELECT draw, round(qhat, 6) AS qhat, round(sum(CASE WHEN s <= qhat THEN m ELSE 0 END)::DOUBLE / sum(m), 6) AS coverage FROM sc JOIN mt USING (drive) JOIN q USING (draw) WHERE part = 'test' GROUP BY draw, qhat", _RS2)
+_RS2_DRAWS = "SELECT draw, round(qhat, 6) AS qhat, round(sum(CASE WHEN s <= qhat THEN m ELSE 0 END)::DOUBLE / sum(m), 6) AS coverage FROM sc JOIN mt USING (drive) JOIN q USING (draw) WHERE part = 'test' GROUP BY draw, qhat"
+
+
+@query("rs2_cluster_bootstrap", _RS2_DRAWS, _RS2)
+def _(spark, d):
+    cal, test = _parts(spark, d)
+    return bs.bootstrap_coverage(cal, test, 0.1).select("draw", F.round("qhat", 6).alias("qhat"), F.round("coverage", 6).alias("coverage"))
+
+
+@query("rs2_interval", f"SELECT round(quantile_cont(coverage, 0.025), 5) AS lo, round(quantile_cont(coverage, 0.975), 5) AS hi, round(stddev_samp(coverage), 7) AS se, 0::BIGINT AS n_nan FROM ({_RS2_DRAWS})", _RS2)
 def _(spark, d):
     cal, test = _parts(spark, d)
-    return wt.bootstrap_coverage(cal, test, 0.1, 20).select("draw", F.round("qhat", 6).alias("qhat"), F.round("coverage", 6).alias("coverage"))
+    draws = bs.bootstrap_coverage(cal, test, 0.1).select(F.round("coverage", 6).alias("coverage"))
+    return wt.interval(draws, "coverage").withColumns({"lo": F.round("lo", 5), "hi": F.round("hi", 5), "se": F.round("se", 7)})
 
 
-@query("rs4_sign_bootstrap", "SELECT draw, round((n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y)), 6) AS r FROM (SELECT draw, sum(m)::DOUBLE AS n, sum(m * p) AS x, sum(m * y)::DOUBLE AS y, sum(m * p * p) AS xx, sum(m * y * y)::DOUBLE AS yy, sum(m * p * y) AS xy FROM scored JOIN mb USING (drive) GROUP BY draw)", f"{SCORED_SQL}, {_BOOT.format(n='mb', seed=42, where='TRUE')}")
+@query("rs4_sign_bootstrap", "SELECT draw, round((n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y)), 6) AS r FROM (SELECT draw, sum(m)::DOUBLE AS n, sum(m * p) AS x, sum(m * y)::DOUBLE AS y, sum(m * p * p) AS xx, sum(m * y * y)::DOUBLE AS yy, sum(m * p * y) AS xy FROM scored JOIN mb USING (drive) GROUP BY draw)", f"{SCORED_SQL}, {_BOOT.format(n='mb', seed=42, draws=500, where='TRUE')}")
 def _(spark, d):
-    return wt.drive_correlation(scored(spark, d), "p", "y", 20).select("draw", F.round("r", 6).alias("r"))
+    return wt.drive_correlation(scored(spark, d), "p", "y", 500).select("draw", F.round("r", 6).alias("r"))
+
+
+_ONE = f"""{SCORED_SQL}, num AS (SELECT *, CASE WHEN y = 1 THEN 1 - p ELSE 1 - (1 - p) END AS s, row_number() OVER (PARTITION BY drive ORDER BY l_orderkey, l_linenumber, l_shipdate, p) - 1 AS k FROM scored),
+pick AS (SELECT draw, drive, floor(('0x' || substr(md5(concat_ws('|', '9', draw::VARCHAR, drive::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * n) AS k FROM (SELECT drive, count(*) AS n FROM scored GROUP BY drive), (SELECT unnest(range(200)) AS draw)),
+one AS (SELECT draw, num.* FROM pick JOIN num USING (drive, k)),
+q AS (SELECT draw, coalesce(min(CASE WHEN cum >= ceil((n + 1) * 0.9::DOUBLE) THEN s END), 'inf'::DOUBLE) AS qhat FROM (SELECT draw, s, row_number() OVER (PARTITION BY draw ORDER BY s) AS cum, count(*) OVER (PARTITION BY draw) AS n FROM one WHERE part = 'cal') GROUP BY draw)"""
 
 
-@query("rs3_one_window_per_drive", """SELECT draw, count(*) AS drives, round(avg(p), 6) AS mean_p FROM (SELECT draw, p, row_number() OVER (PARTITION BY draw, drive ORDER BY md5(concat_ws('|', draw::VARCHAR, l_orderkey::VARCHAR, l_linenumber::VARCHAR, drive::VARCHAR))) AS k FROM scored, (SELECT unnest(range(5)) AS draw)) WHERE k = 1 GROUP BY draw""", SCORED_SQL)
+@query("rs3_one_window_per_drive", "SELECT draw, count(*) AS drives, round(any_value(qhat), 6) AS qhat, round(avg((s <= qhat)::INT), 6) AS coverage FROM one JOIN q USING (draw) WHERE part = 'test' GROUP BY draw", _ONE)
 def _(spark, d):
-    df = scored(spark, d).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    one = df.groupBy("draw", "drive").agg(F.min_by("p", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("draw", *IDS)]))).alias("p"))
-    return one.groupBy("draw").agg(F.count(F.lit(1)).alias("drives"), F.round(F.avg("p"), 6).alias("mean_p"))
+    one = bs.one_window_draws(scored(spark, d), ["l_orderkey", "l_linenumber", "l_shipdate", "p"]).withColumn("s", cp.lac())
+    q = cp.thresholds(one.filter("part = 'cal'"), 0.1, ["draw"]).drop("n")
+    test = one.filter("part = 'test'").join(F.broadcast(q), "draw")
+    return test.groupBy("draw").agg(F.count(F.lit(1)).alias("drives"), F.round(F.first("qhat"), 6).alias("qhat"), F.round(F.avg((F.col("s") <= F.col("qhat")).cast("int")), 6).alias("coverage"))
 
 
 @query("ex8_stage_audit", _coverage_sql(["stage"]).replace("SELECT stage,", "SELECT coalesce(stage, -1) AS stage,").replace("GROUP BY stage", "GROUP BY GROUPING SETS ((), (stage))"), _sets("group"))
