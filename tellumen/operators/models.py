@@ -42,15 +42,15 @@ MODELS = {"random_forest": forest, "gbm": boosted, "logistic": logistic}
 class Classifier:
     """fit() and score() for one entry of MODELS; data of one class give that class as a constant."""
 
-    def __init__(self, features: list[str], model: str = "random_forest", **options):
-        self.features, self.stage, self.fitted, self.constant = features, MODELS[model](**options), None, None
+    def __init__(self, features: list[str], model: str = "random_forest", weighted: bool = True, **options):
+        self.features, self.stage, self.fitted, self.constant, self.weighted = features, MODELS[model](**options), None, None, weighted
 
     def fit(self, df: DataFrame) -> "Classifier":
         seen = [r.y for r in df.select("y").distinct().limit(2).collect()]
         if len(seen) < 2:
             self.constant = float(seen[0]) if seen else 0.0
         else:
-            self.fitted = self.stage.fit(assemble(balanced(df), self.features))
+            self.fitted = self.stage.fit(assemble(balanced(df) if self.weighted else df.withColumn("wt", F.lit(1.0)), self.features))
         return self
 
     def score(self, df: DataFrame) -> DataFrame:

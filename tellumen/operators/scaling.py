@@ -93,6 +93,38 @@ def flatten_full(df: DataFrame, features: list[str], length: int) -> DataFrame:
     return df.select(*KEY, "vendor", F.col("ds").alias("end_ds"), F.col("label").alias("y"), *[F.get(f"{c}_w", F.lit(t)).alias(f"{c}_t{t}") for t in range(length) for c in features])
 
 
+def flatten_last(df: DataFrame, features: list[str]) -> DataFrame:
+    """Kept windows with the value of each feature at their end."""
+    return df.filter("kept").select(*KEY, "vendor", F.col("ds").alias("end_ds"), F.col("label").alias("y"), *[F.col(c).alias(f"{c}_last") for c in features])
+
+
+def flatten_stats(df: DataFrame, features: list[str], length: int) -> DataFrame:
+    """Kept windows with mean, std (population), min, max, last and delta of each feature."""
+    frame, out = _drive().rowsBetween(-(length - 1), 0), {}
+    for c in features:
+        out |= {f"{c}_mean": F.avg(c).over(frame), f"{c}_std": F.stddev_pop(c).over(frame), f"{c}_min": F.min(c).over(frame), f"{c}_max": F.max(c).over(frame), f"{c}_last": F.col(c), f"{c}_delta": F.col(c) - F.first(c).over(frame)}
+    df = df.withColumns(out).filter("kept")
+    return df.select(*KEY, "vendor", F.col("ds").alias("end_ds"), F.col("label").alias("y"), *out)
+
+
+def flatten_self_scaled(df: DataFrame, features: list[str], length: int, how: str = "stats") -> DataFrame:
+    """Kept windows scaled by their own first steps, then flattened ("stats", "full" or "last") inside the window."""
+    df = df.withColumns({f"{c}_w": steps(c, length) for c in features}).filter("kept")
+    df = df.withColumns({f"{c}_w": self_scaled(F.col(f"{c}_w")) for c in features})
+    out = {}
+    for c in features:
+        w = F.col(f"{c}_w")
+        last = F.element_at(w, -1)
+        if how == "full":
+            out |= {f"{c}_t{t}": F.get(w, F.lit(t)) for t in range(length)}
+        elif how == "last":
+            out[f"{c}_last"] = last
+        else:
+            mean = F.aggregate(w, F.lit(0.0), lambda a, v: a + v) / F.size(w)
+            out |= {f"{c}_mean": mean, f"{c}_std": spread(w), f"{c}_min": F.array_min(w), f"{c}_max": F.array_max(w), f"{c}_last": last, f"{c}_delta": last - F.get(w, F.lit(0))}
+    return df.select(*KEY, "vendor", F.col("ds").alias("end_ds"), F.col("label").alias("y"), *[v.alias(k) for k, v in out.items()])
+
+
 def flatten_dynamics(df: DataFrame, features: list[str], length: int, last: bool = True) -> DataFrame:
     """Kept windows with slope, delta, rel_delta, std, max_jump, n_changes and, on request, last of each feature."""
     frame, inner = _drive().rowsBetween(-(length - 1), 0), _drive().rowsBetween(-(length - 2), 0)

@@ -26,10 +26,13 @@ def standard_split(drives: DataFrame, test: float = 0.2, cal: float = 0.2, seed:
     return stratified(drives, [("test", test), ("cal", (1 - test) * cal), ("train", 1.0)], ["model", "drive_label"], seed)
 
 
-def held_out_splits(drives: DataFrame, column: str, strata: list[str], cal: float = 0.2, seed: int = 42) -> DataFrame:
-    """All folds in one plan: for each value of column, its drives are the test part, the rest is cal and train."""
-    folds = drives.select(F.col(column).alias("fold")).distinct()
+def held_out_splits(drives: DataFrame, column: str, strata: list[str], cal: float = 0.2, seed: int = 42, within: str | None = None) -> DataFrame:
+    """All folds in one plan: for each value of column, its drives are the test part, the rest is cal and train;
+    with within only the rest that agrees with the fold in that column."""
+    folds = drives.select(F.col(column).alias("fold"), *([F.col(within).alias("_within")] if within else [])).distinct()
     every = drives.crossJoin(F.broadcast(folds))
+    if within:
+        every = every.filter(F.col(within) == F.col("_within")).drop("_within")
     pool = stratified(every.filter(F.col(column) != F.col("fold")), [("cal", cal), ("train", 1.0)], ["fold", *strata], seed)
     return pool.unionByName(every.filter(F.col(column) == F.col("fold")).withColumn("part", F.lit("test")))
 

@@ -73,6 +73,21 @@ def density_ratio(df: DataFrame, p: str = "p", part: str = "part", lo: float = 0
     return df.crossJoin(n).withColumn("w", F.least(F.greatest(w, F.lit(lo)), F.lit(hi))).drop("_c", "_t")
 
 
+def fit_density_ratio(cal: DataFrame, test: DataFrame, columns: list[str], lo: float = 0.05, hi: float = 20.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """cal and test with w, from a logistic domain classifier on columns, and one row on the weights of both: the
+    report of ratio_report and domain_auc."""
+    from tellumen.operators.conformal import auc
+    from tellumen.operators.models import Classifier
+
+    both = cal.withColumn("_part", F.lit("cal")).unionByName(test.withColumn("_part", F.lit("test")))
+    domain = both.select("_part", *columns).withColumn("y", (F.col("_part") == "test").cast("int"))
+    model = Classifier(columns, "logistic", weighted=False).fit(domain)
+    scored = density_ratio(model.score(both.withColumnsRenamed({c: f"_own_{c}" for c in ("p", "w") if c in both.columns})), part="_part", lo=lo, hi=hi)
+    info = ratio_report(scored, lo, hi).crossJoin(auc(model.score(domain), []).withColumnRenamed("auc", "domain_auc"))
+    out = scored.drop("p").withColumnsRenamed({"_own_p": "p"}).drop("_own_w")
+    return out.filter("_part = 'cal'").drop("_part"), out.filter("_part = 'test'").drop("_part"), info
+
+
 def ratio_report(df: DataFrame, lo: float = 0.05, hi: float = 20.0) -> DataFrame:
     """n, mean weight, share at a clip bound, effective sample size."""
     return df.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("w"), 6).alias("mean_w"), F.round(F.avg(((F.col("w") <= lo) | (F.col("w") >= hi)).cast("double")), 6).alias("clipped"), F.round(F.sum("w") * F.sum("w") / F.sum(F.col("w") * F.col("w")), 3).alias("ess"))

@@ -10,7 +10,7 @@ from tellumen.operators import panel as pn
 from tellumen.operators import sampling as sa
 from tellumen.operators import splits as sp
 from tellumen.operators.conformal import auc, calibration
-from tellumen.operators.experiment import STATS, prepare_folds, run_cell
+from tellumen.operators.experiment import STATS, prepare_fold, run_cell
 from tellumen.plans.registry import W, _drives, _labelled, query
 from tellumen.sources import telemetry as tm
 from tellumen.sources.fleet import FEATURES, KEY, PANEL_SQL, panel, read, scored
@@ -62,11 +62,6 @@ def _(spark, d):
     return tm.synthetic(spark)
 
 
-def _folds(spark, d):
-    x = _labelled(spark, d)
-    return prepare_folds(x, lb.drive_table(x), FEATURES, W)
-
-
 @query("ml1_forest")
 def _(spark, d):
     x = _labelled(spark, d)
@@ -91,7 +86,9 @@ def _(spark, d):
 
 @query("ex2_run_cell")
 def _(spark, d):
-    return run_cell(_folds(spark, d), "A", FEATURES, "logistic", method="class")
+    x = _labelled(spark, d)
+    split = sp.held_out_splits(lb.drive_table(x), "vendor", ["model", "drive_label"]).filter("fold = 'A'")
+    return run_cell(prepare_fold(x, split, FEATURES, W, "lomo_A", held_out="A"), "logistic", method="class")
 
 
 @query("sp14_manifest", "SELECT fold, part, count(*) AS drives FROM (SELECT vendor AS fold, 'test' AS part FROM (SELECT model, disk_id, substr(model, 2, 1) AS vendor FROM panel GROUP BY ALL)) GROUP BY ALL", PANEL_SQL)
