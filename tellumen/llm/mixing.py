@@ -9,7 +9,7 @@ A leaf's documents are ordered in seeded epochs (an md5 order for each epoch); t
 within its budget. Prefix sums are made in two levels (by order bucket, then inside buckets), so that a leaf with
 a third of all rows is never sorted in one task.
 
-Defined results: null text has no tokens and costs nothing; null lang or source is 'unknown'; sources without
+Defined results: null text has no tokens and costs nothing, so that a leaf without tokens is taken in all epochs; null lang or source is 'unknown'; sources without
 digits are in domain 'other'; repeated rows are ranked by doc_id, then tokens; null doc_ids share one place in each
 epoch's order and are ranked by tokens there, in one task; children of weight 0 get nothing; a text's length does
 not matter beyond its tokens; an empty table gives no rows; extra columns are ignored.
@@ -87,7 +87,7 @@ def mix_sources(docs: DataFrame, seed: int = SEED, epochs: int = EPOCHS, portion
     plan = budgets(leaf, F.floor(F.sum("leaf_tokens") * portion).cast("double"), weight)
     leaf = written(leaf.join(plan, list(LEVELS)).withColumn("buckets", F.floor(F.col("leaf_docs") / bucket_rows) + 1).drop("cap"), "mix-leaves")
     # Only epochs that the budget reaches into are laid out.
-    need = F.least(F.lit(epochs), F.floor(F.col("leaf_budget") / F.greatest("leaf_tokens", F.lit(1))).cast("int") + 1)
+    need = F.when(F.col("leaf_tokens") > 0, F.least(F.lit(epochs), F.floor(F.col("leaf_budget") / F.col("leaf_tokens")).cast("int") + 1)).otherwise(epochs)
     one = rows.join(leaf, list(LEVELS)).withColumn("epoch", F.explode(F.sequence(F.lit(0), need - 1)))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     one = one.withColumn("u", F.conv(F.substring(key, 1, 13), 16, 10).cast("long"))
