@@ -59,7 +59,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text are one document here, which the mix may take several times."""
     mix = mix_sources(docs).select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"), "epoch", "domain", "tokens")
     once = docs.withColumn("k__th", F.xxhash64("text")).dropDuplicates(["doc_id", "k__th"])
-    return once.join(mix, _same(once, mix, once["k__th"] == mix["k_th"])).drop("k_id", "k_th", "k__th")
+    both = once.join(mix, _same(once, mix, once["k__th"] == mix["k_th"]))
+    return both.select(*[once[c] for c in docs.columns], mix["epoch"], mix["domain"], mix["tokens"])
 
 
 STAGES = [
