@@ -15,8 +15,10 @@ from tellumen.operators import scaling as ts
 from tellumen.operators import splits as sp
 from tellumen.operators import weighted as wt
 from tellumen.operators.labels import in_horizon
-from tellumen.operators.models import Classifier
+from tellumen.operators.models import MODEL_INPUT, Classifier
+from tellumen.operators.sequence import SequenceModel
 from tellumen.operators.weighted import pick_threshold
+from tellumen.session import materialised
 from tellumen.sources.fleet import KEY
 
 STATS = ("mean", "std", "min", "max", "last", "delta", "slope")
@@ -103,17 +105,21 @@ def prepare_fold(labelled: DataFrame, split: DataFrame, features: list[str], len
             kept = [c for c in features if any(s.startswith(f"{c}_") for s in chosen)]
             features = kept or features
             columns = [c for c in columns if any(c.startswith(f"{f}_") for f in features)]
-    return Fold(name, flat.select(*KEY, "vendor", "end_ds", "y", "part", *columns), features, columns, normalize, how, dropped, held_out or "")
+    # Every cell goes over the windows many times; they are built once.
+    return Fold(name, materialised(flat.select(*KEY, "vendor", "end_ds", "y", "part", *columns), "fold"), features, columns, normalize, how, dropped, held_out or "")
 
 
 def run_cell(fold: Fold, model: str = "random_forest", alpha: float = 0.1, method: str = "split", group: str = "vendor", beta: float = 0.5, **options) -> DataFrame:
     """One row: the coverage report, window and drive metrics at a threshold chosen on train scores, and what was run.
     method: one of conformal.METHODS or "weighted" (a domain classifier's ratios)."""
+    if MODEL_INPUT.get(model) == "seq" and fold.how != "full":
+        raise ValueError(f"{model} reads whole windows: prepare the fold with how='full'")
     started = time.monotonic()
-    fitted = Classifier(fold.columns, model, **options).fit(fold.part("train"))
+    learner = SequenceModel(fold.columns, len(fold.features), **options) if MODEL_INPUT.get(model) == "seq" else Classifier(fold.columns, model, **options)
+    fitted = learner.fit(fold.part("train"))
     took = time.monotonic() - started
     score = lambda p: fitted.score(fold.part(p)).withColumn("drive", F.concat_ws(":", *KEY))
-    train, cal, test = score("train"), score("cal"), score("test")
+    train, cal, test = (materialised(score(p).drop(*fold.columns) if method != "weighted" else score(p), "scores") for p in ("train", "cal", "test"))
     if method == "weighted":
         wcal, wtest, info = wt.fit_density_ratio(cal, test, fold.columns)
         sets = wt.weighted_sets(wtest, wcal, alpha).withColumn("fallback", F.lit(False))

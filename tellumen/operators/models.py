@@ -37,6 +37,8 @@ def logistic(l2: float = 1e-3, rounds: int = 300):
 
 
 MODELS = {"random_forest": forest, "gbm": boosted, "logistic": logistic}
+#: What a model reads: flat columns, or window tensors (flattening "full", see sequence.SequenceModel).
+MODEL_INPUT = {**dict.fromkeys(MODELS, "flat"), "gru": "seq"}
 
 
 class Classifier:

@@ -27,9 +27,7 @@ def split(labelled):
 
 @pytest.fixture(scope="module")
 def fold(labelled, split):
-    f = ex.prepare_fold(labelled, split, FEATURES, 7, stride=3, positive_stride=2)
-    f.windows = materialised(f.windows, "test-windows")
-    return f
+    return ex.prepare_fold(labelled, split, FEATURES, 7, stride=3, positive_stride=2)
 
 
 def test_statistics_come_from_train(labelled, split):
