@@ -300,7 +300,7 @@ def encode(w: tx.Words, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.nda
     return at, word, cls, np.where(tail, voc.frequent + cls - voc.classes, word)
 
 
-def batch_cuts(n: int, first: int, most: int, growth: int = 4) -> list[int]:
+def batch_cuts(n: int, first: int, most: int, growth: int = 16) -> list[int]:
     """Where the batches of n segments begin, and n: they grow from `first` to `most`, as late steps need less noise."""
     out, size = [0], first
     while out[-1] < n:
@@ -385,8 +385,9 @@ def window_gradient(net: Gru, h: np.ndarray, x_at: np.ndarray, cls: np.ndarray,
     g[1][...] = hs[:-1].reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
     flat_at, flat_dx = x_at.ravel(), dx.reshape(-1, 3 * HIDDEN)
     by = np.argsort(flat_at.astype(np.int16) if net.shapes[0][0] < 1 << 15 else flat_at, kind="stable")
-    ids, first = np.unique(flat_at[by], return_index=True)
-    g[0][ids] += np.add.reduceat(flat_dx[by], first, axis=0)
+    ids = flat_at[by]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    g[0][ids[first]] += np.add.reduceat(flat_dx[by], first, axis=0)
     return grad, hs[-1]
 
 
