@@ -260,7 +260,8 @@ class Gru:
             z /= total[:, None]
             z[np.arange(len(h)), cls] -= 1
             dh = z @ self.p[2].T
-            grads[2] += h.T @ z
+            for i in range(0, len(h), 512):
+                grads[2] += h[i : i + 512].T @ z[i : i + 512]
             grads[3] += np.ones(len(h), h.dtype) @ z
         inside = np.flatnonzero(cls < self.classes)
         if not len(inside):
@@ -346,7 +347,7 @@ def window_gradient(net: Gru, h: np.ndarray, x_at: np.ndarray, cls: np.ndarray,
     hs, r, z, by_n, by_z, by_r = (np.empty((span + (k == 0), n_rows, HIDDEN), kind) for k in range(6))
     hs[0] = h
     for k in range(span):
-        hs[k + 1], rz, cand, gn = net.step(net.p[0][x_at[k]], hs[k])
+        hs[k + 1], rz, cand, gn = net.step(net.p[0].take(x_at[k], axis=0), hs[k])
         r[k], z[k] = rz[:, :HIDDEN], rz[:, HIDDEN:]
         # What the step's dh will be multiplied with, while all of it is in the cache.
         np.multiply(cand, cand, out=by_n[k])
@@ -379,10 +380,11 @@ def window_gradient(net: Gru, h: np.ndarray, x_at: np.ndarray, cls: np.ndarray,
         np.multiply(dn, by_r[k], out=dr)
         dg[k, :, : 2 * HIDDEN] = dx[k, :, : 2 * HIDDEN]
         np.multiply(dn, r[k], out=dg[k, :, 2 * HIDDEN :])
+        # Step by step: a product with as many rows as the whole window has costs more than its parts.
+        g[1][...] += hs[k].T @ dg[k]
         back = dg[k] @ recur
         dh *= z[k]
         back += dh
-    g[1][...] = hs[:-1].reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
     flat_at, flat_dx = x_at.ravel(), dx.reshape(-1, 3 * HIDDEN)
     by = np.argsort(flat_at.astype(np.int16) if net.shapes[0][0] < 1 << 15 else flat_at, kind="stable")
     ids = flat_at[by]
@@ -554,7 +556,7 @@ def score_group(net: Gru, inp: np.ndarray, cls: np.ndarray, word: np.ndarray, fi
             done = 0
             for k, m in enumerate(n):
                 place = begin[:m] + (t + k)
-                h = net.step(net.p[0][inp[place]], h[:m])[0]
+                h = net.step(net.p[0].take(inp[place], axis=0), h[:m])[0]
                 hidden[done : done + m] = h
                 at.append(place)
                 done += m
