@@ -24,8 +24,10 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(filled)
 
 
-def forest(trees: int = 200, leaf: int = 2, depth: int = 12, seed: int = 42):
-    return RandomForestClassifier(labelCol="y", weightCol="wt", numTrees=trees, minInstancesPerNode=leaf, maxDepth=depth, seed=seed)
+def forest(trees: int = 200, leaf: int = 2, depth: int = 12, seed: int = 42, memory: int = 1024):
+    """memory: MB for the histograms of the nodes that are split in one pass; deep levels of many trees need fewer
+    passes over the rows with more."""
+    return RandomForestClassifier(labelCol="y", weightCol="wt", numTrees=trees, minInstancesPerNode=leaf, maxDepth=depth, seed=seed, maxMemoryInMB=memory)
 
 
 def boosted(rounds: int = 150, depth: int = 5, seed: int = 42):

@@ -12,6 +12,7 @@ from tellumen.operators import splits as sp
 from tellumen.operators.conformal import auc, calibration
 from tellumen.operators.experiment import STATS, prepare_fold, run_cell
 from tellumen.plans.registry import W, _drives, _labelled, query
+from tellumen.session import materialised
 from tellumen.sources import telemetry as tm
 from tellumen.sources.fleet import FEATURES, KEY, PANEL_SQL, panel, read, scored
 
@@ -66,6 +67,7 @@ def _(spark, d):
 def _(spark, d):
     x = _labelled(spark, d)
     win = pn.windows(pn.densify(x, FEATURES), FEATURES, W).join(sp.standard_split(_drives(spark, d)).select(*KEY, "part"), KEY)
+    win = materialised(win, "ml1-windows")
     m = ml.Classifier([f"{c}_{s}" for c in FEATURES for s in STATS], "random_forest").fit(win.filter("part <> 'test'"))
     return auc(m.score(win.filter("part = 'test'")), [])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,12 +21,50 @@ def read_daily_csv(spark: SparkSession, paths: list[str], features: list[str]) -
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(paths)
 
 
-def find_failures(spark: SparkSession, root: str, pattern: str = "*failure*.csv") -> DataFrame:
-    """Failure tables anywhere under root; none is an error."""
-    df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(root)
-    if not df.columns:
+def find_failures(spark: SparkSession, root: str, *patterns: str) -> DataFrame:
+    """Failure tables anywhere under root, by the first pattern that any file matches; none is an error."""
+    patterns = patterns or ("*failure*.csv",)
+    for pattern in patterns:
+        df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(root)
+        if df.columns:
+            return df
+    raise FileNotFoundError(f"no {' or '.join(patterns)} under {root}")
+
+
+def files_under(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """path, length of the files under root that match; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
+
+
+def locate_export(spark: SparkSession, root: str, pattern: str = "*.parquet") -> str:
+    """The first folder under root, by name, that holds files of an export; none is an error."""
+    found = files_under(spark, root, pattern).agg(F.min(F.regexp_replace("path", "/[^/]*$", "")).alias("folder")).first().folder
+    if found is None:
         raise FileNotFoundError(f"no {pattern} under {root}")
-    return df
+    return found
+
+
+def count_csv(spark: SparkSession, paths: list[str]) -> int:
+    """Rows of CSV files less their headers; no column is parsed."""
+    return spark.read.option("header", True).csv(paths).count()
+
+
+def inspect_raw(spark: SparkSession, path: str, rows: int = 1000) -> DataFrame:
+    """column, n, n_null over the first `rows` rows of a raw file."""
+    df = spark.read.option("header", True).csv(path).limit(rows)
+    counts = df.select([F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns]).unpivot([], df.columns, "column", "n_null")
+    return counts.crossJoin(df.agg(F.count(F.lit(1)).alias("n")))
+
+
+def load_slim(spark: SparkSession, path: str, drives: int | None = None, keep_failed: bool = True, seed: int = 42) -> DataFrame:
+    """A slim export, or the rows of a sample of its drives (all failed ones and `drives` others, or in proportion)."""
+    from tellumen.operators.sampling import sample_drives
+
+    df = spark.read.parquet(path)
+    if drives is None:
+        return df
+    every = df.groupBy(*KEY).agg(F.max(F.col("failure_time").isNotNull().cast("int")).alias("drive_label"))
+    return df.join(sample_drives(every, drives, keep_failed, seed).select(*KEY), KEY, "left_semi")
 
 
 def clean_failures(df: DataFrame) -> DataFrame:
@@ -65,6 +104,20 @@ def write_panel(df: DataFrame, path: str, codec: str = "snappy", overwrite: bool
     df.write.mode("overwrite" if overwrite else "error").option("compression", codec).parquet(path)
 
 
+def append_panel(df: DataFrame, path: str, codec: str = "snappy") -> None:
+    """Adds df to a panel in the order and types of what is there; a column that is missing is an error, a new one is
+    left out. The first call writes df as it is."""
+    spark = df.sparkSession
+    try:
+        first = spark.read.parquet(path).schema
+    except AnalysisException:
+        return write_panel(df, path, codec)
+    lost = [f.name for f in first if f.name not in df.columns]
+    if lost:
+        raise ValueError(f"missing columns: {', '.join(lost)}")
+    df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in first]).write.mode("append").option("compression", codec).parquet(path)
+
+
 def export_slim(df: DataFrame, path: str, features: list[str], codec: str = "zstd", overwrite: bool = False) -> None:
     """Key, failure time, features and whole days to failure in single precision, partitioned by model and sorted by
     drive and day; files are split by drive, so one large model is not one task."""
@@ -126,6 +179,17 @@ def pending(requested: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame
     return requested.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def write_report(rows: DataFrame, path: str) -> None:
+    """Rows of report() as lines of text, a section after the other."""
+    line = F.concat(F.col("section"), F.lit("\t"), F.col("metric"), F.lit("\t"), F.col("value").cast("string"))
+    rows.orderBy("section", "metric").select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_config(spark: SparkSession, config: dict, path: str) -> None:
+    """An experiment's settings as one JSON record."""
+    spark.range(1).select(*[F.lit(v).alias(k) for k, v in sorted(config.items())]).coalesce(1).write.mode("overwrite").json(path)
+
+
 def report(df: DataFrame, section: str) -> DataFrame:
     """One row of numbers as (section, metric, value)."""
     return df.select([F.col(c).cast("double").alias(c) for c in df.columns]).unpivot([], df.columns, "metric", "value").withColumn("section", F.lit(section))
@@ -150,3 +214,7 @@ def synthetic(spark: SparkSession, drives: int = 400, days: int = 180, failure_s
     gone = lambda c, e: F.when(u(f"gone-{c}", "disk_id", "t") >= 0.01, e).alias(c)
     dtf = F.datediff("failure_time", "ds").cast("double")
     return x.select("disk_id", "ds", "model", gone("n_1", 100 + F.col("offset") - 25 * near * near + noise("n_1")), gone("r_1", 400 * near * near + 10 * noise("r_1")), gone("n_2", 50 + F.col("offset") + noise("n_2")), gone("r_2", F.col("t") * 0.1 + noise("r_2")), (F.col("t") * 24.0).alias("r_9"), "failure_time", dtf.alias("days_to_failure"), F.coalesce(dtf <= 0, F.lit(False)).cast("tinyint").alias("failure_event"))
+
+
+def write_synthetic(spark: SparkSession, path: str, codec: str = "snappy", **options) -> None:
+    synthetic(spark, **options).write.mode("error").option("compression", codec).parquet(path)
