@@ -25,9 +25,8 @@ def find_failures(spark: SparkSession, root: str, *patterns: str) -> DataFrame:
     """Failure tables anywhere under root, by the first pattern that any file matches; none is an error."""
     patterns = patterns or ("*failure*.csv",)
     for pattern in patterns:
-        df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(root)
-        if df.columns:
-            return df
+        if not files_under(spark, root, pattern).isEmpty():
+            return spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(root)
     raise FileNotFoundError(f"no {' or '.join(patterns)} under {root}")
 
 
