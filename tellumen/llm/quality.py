@@ -1,9 +1,11 @@
 """Quality by an interpolated modified Kneser-Ney bigram model trained on trusted text.
 
-Trusted text: documents labelled quality 1. N-grams are counted on four fifths of at most `fit_docs` of them (the
-smallest hashes of doc_id); all others are held out for the languages' means and thresholds. Words are the `vocab` most frequent of the counting
-part; all others share one symbol, whose probability is divided by the number of word types it stands for.
-N-gram counts, context totals, continuation counts and the three discounts come from Spark aggregations.
+Trusted text: documents labelled quality 1. N-grams are counted on four fifths of them, by the hash of doc_id; the
+other fifth is held out for the languages' means and thresholds, so that each trusted document is in one or the
+other. Words are the `vocab` most frequent of the counting part; all others share one symbol, whose probability is
+divided by the number of word types it stands for. N-gram counts, context totals, continuation counts and the three
+discounts come from Spark aggregations. Texts meet their labels in a join; a bit table of fixed size, broadcast,
+keeps most texts without a label out of its shuffle.
 
 Scoring is a sharded join of counts. The model's n-gram table is cut into shards by n-gram hash; each slice of
 documents sends one packed row of n-gram codes to each shard and gets one packed row of partial sums back, which
@@ -41,6 +43,45 @@ def _symbols(w: tx.Words, index: tx.HashIndex, vocab: int) -> tuple[np.ndarray,
     return sym, left
 
 
+def _sieve(ids: DataFrame, column: str, most: int = 26) -> np.ndarray:
+    """A bit table of two positions per hash in `column`, 16 bits a hash but at most 2 ** most, packed in bytes."""
+    bits = min(most, max(16, int(16 * ids.count()).bit_length()))
+    at = ids.select(F.explode(F.array(F.col(column), F.shiftright(column, 32))).alias("at")).select(F.col("at").bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
+    got = at.groupBy(F.shiftright("at", 3).cast("int").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, CAST(at & 7 AS INT))")).alias("set")).toArrow()
+    table_ = np.zeros(1 << (bits - 3), np.uint8)
+    table_[got.column("byte").to_numpy()] = got.column("set").to_numpy()
+    return table_
+
+
+def _sifted(docs: DataFrame, column: str, sieve: np.ndarray) -> DataFrame:
+    """The rows whose hash in `column` has both positions set: all that the sieve was made from, and a few more."""
+
+    def run(it):
+        mask = len(sieve) * 8 - 1
+        for b in batches(it, "text"):
+            h = b.column(b.schema.get_field_index(column)).to_numpy()
+            hit = np.ones(len(h), bool)
+            for at in (h & mask, (h >> 32) & mask):
+                hit &= (sieve[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            if hit.any():
+                yield b.filter(pa.array(hit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _most_frequent(counts: DataFrame, key: str, k: int) -> DataFrame:
+    """The k rows of largest c, ties to the smaller key. Only rows of the sixteenths of an octave of c that reach k
+    are sorted, so that not every partition sends k rows."""
+    step = F.floor(F.log2("c") * 16)
+    have = 0
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.s):
+        have += r.n
+        if have >= k:
+            counts = counts.filter(step >= r.s)
+            break
+    return counts.orderBy(F.desc("c"), key).limit(k)
+
+
 def _word_counts(texts: DataFrame) -> DataFrame:
     def run(it):
         for b in batches(it, "text"):
@@ -98,7 +139,7 @@ class Model:
 def fit(texts: DataFrame, vocab: int, hot: int) -> tuple[Model, DataFrame, np.ndarray, np.ndarray]:
     """The model, its n-gram table (code, c), and the hot n-grams' codes and gains. texts: trusted `text`."""
     counts = written(_word_counts(texts), "kn-words")
-    top = counts.orderBy(F.desc("c"), "h").limit(vocab).select("h").toPandas()["h"].to_numpy(np.int64)
+    top = _most_frequent(counts, "h", vocab).select("h").toPandas()["h"].to_numpy(np.int64)
     model = Model(np.sort(top.view(U)), counts.count())
 
     def grams(it):
@@ -109,7 +150,7 @@ def fit(texts: DataFrame, vocab: int, hot: int) -> tuple[Model, DataFrame, np.nd
 
     table_ = written(texts.select("text").mapInArrow(grams, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "kn-grams")
     model.fit(table_)
-    first = table_.orderBy(F.desc("c"), "code").limit(hot).toPandas()
+    first = _most_frequent(table_, "code", hot).toPandas()
     order = np.argsort(first["code"].to_numpy())
     codes = first["code"].to_numpy(np.int64)[order]
     return model, table_, codes, model.gain(codes, first["c"].to_numpy(np.int64)[order])
@@ -163,12 +204,26 @@ def log_probabilities(docs: DataFrame, model: Model, grams: DataFrame, hot_code:
                     out.append((s, 1, part, k, code[i:j].astype(np.uint32).tobytes(), np.bincount(doc[i:j], minlength=w.n_docs).astype(np.int32).tobytes(), None))
             yield rows(out)
 
+    def dealt(held):
+        code = np.concatenate([k for k, _ in held])
+        to, gain = _shard(code, shards), model.gain(code, np.concatenate([c for _, c in held]))
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(shards + 1))
+        code, gain = code[order].astype(np.uint32), gain[order].astype(np.float32)
+        return rows([(s, 0, 0, 0, code[i:j].tobytes(), gain[i:j].tobytes(), None) for s, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i])
+
     def pieces(it):
+        # About 2 ** 20 n-grams at a time: a row for each shard holds many of them.
+        held, n = [], 0
         for b in it:
-            code, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if len(code):
-                to, gain = _shard(code, shards), model.gain(code, c)
-                yield rows([(s, 0, 0, 0, code[to == s].astype(np.uint32).tobytes(), gain[to == s].astype(np.float32).tobytes(), None) for s in np.unique(to)])
+            if b.num_rows:
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+                n += b.num_rows
+            if n >= 1 << 20:
+                yield dealt(held)
+                held, n = [], 0
+        if held:
+            yield dealt(held)
 
     def answers(it):
         now, code, gain, ready = None, [], [], False
@@ -225,19 +280,26 @@ def _low_quantile(held: DataFrame, keys: list[str], low: float, whole: int = 100
     return few.select(*keys, (value(down) + (at - down) * (F.coalesce(value(down + 1), value(down)) - value(down))).alias("cut"), "k")
 
 
-def classify(docs: DataFrame, labels: DataFrame, fit_docs: int = 20000, vocab: int = 16384, hot: int = 65536, prior: float = 20.0, low: float = 0.003, least: int = 50) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, fit_docs: int | None = None, vocab: int = 16384, hot: int = 65536, prior: float = 20.0, low: float = 0.003, least: int = 50) -> DataFrame:
     """doc_id, th, lang, n_tokens, log10_prob, perplexity (null without words), shrunk_perplexity (what is compared),
-    threshold, kept. docs: doc_id, text, lang."""
+    threshold, kept. docs: doc_id, text, lang. fit_docs: only the smallest so many hashes of doc_id are counted from, and
+    all other trusted documents are held out; None: no such bound."""
     shards = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
     trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    trusted = trusted.withColumn("o", F.xxhash64("doc_id"))
-    # Only hashes below a bound that holds `fit_docs` of them, with some to spare, are sorted.
-    share = min(1.0, (1.1 * fit_docs + 1000) / max(1, trusted.count()))
-    near = trusted.filter(F.col("o") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64))))
-    fitted = F.broadcast(written(near.orderBy("o", "doc_id").limit(fit_docs).filter(F.pmod("o", F.lit(5)) != 0).select("doc_id"), "kn-fitted"))
-    texts = docs.join(fitted, "doc_id", "left_semi").filter("text IS NOT NULL")
+    trusted = written(trusted.withColumn("o", F.xxhash64("doc_id")), "kn-trusted")
+    counted = trusted
+    if fit_docs is not None:
+        # Only hashes below a bound that holds `fit_docs` of them, with some to spare, are sorted.
+        share = min(1.0, (1.1 * fit_docs + 1000) / max(1, trusted.count()))
+        near = trusted.filter(F.col("o") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64))))
+        counted = near.orderBy("o", "doc_id").limit(fit_docs)
+    counted = counted.filter(F.pmod("o", F.lit(5)) != 0)
+    counted = counted if fit_docs is None else written(counted, "kn-counted")
+    texts = docs.filter("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("o", F.xxhash64("doc_id"))
+    # Written once, since words and n-grams are counted in two passes. The ids grow with the input: no broadcast.
+    texts = written(_sifted(texts, "o", _sieve(counted, "o")).join(counted.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select("text"), "kn-texts")
     scores = written(log_probabilities(docs, *fit(texts, vocab, hot), shards), "kn-scores").withColumn("lang", F.coalesce("lang", F.lit("")))
-    held = scores.filter("n > 0").join(fitted, "doc_id", "left_anti").join(trusted, "doc_id", "left_semi")
+    held = scores.filter("n > 0").join(trusted, "doc_id", "left_semi").join(counted, "doc_id", "left_anti")
     held = written(held.select("lang", "n", "logp"), "kn-held")
     mean = lambda: (F.sum("logp") / F.sum("n")).alias("mu")
     mu = held.groupBy("lang").agg(mean(), F.count(F.lit(1)).alias("k"))
